@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevec.llm import mixing, tokenizer
+from lodevec.llm import mixing, runs, subset, tokenizer
 from lodevec.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.collapse(table(spark, folder, "hits")).where("n_hits >= 2").drop("duration_ns")
+
+
+def p2_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event after collapsing, single ones too, with count and duration."""
+    return runs.collapse(table(spark, folder, "hits"))
+
+
+def p4_subset(spark: SparkSession, folder: str) -> DataFrame:
+    return subset.requested(table(spark, folder, "manifest"), table(spark, folder, "subset_requests"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_subset(spark, folder).select("site", "obs_day").distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, folder, "documents"))
 
@@ -30,10 +47,36 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_events": p2_events,
+    "p4_found": p4_found,
+    "p4_subset": p4_subset,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
 }
 
-SQL: dict[str, str] = {}
+_RUNS = """
+WITH u AS (
+  SELECT query_id, lower(regexp_replace(site, '^\\s+|\\s+$', '', 'g')) AS site, time_ns, global_id, arg_min(score, hit_id) AS score
+  FROM hits WHERE site IS NOT NULL AND time_ns IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)
+  GROUP BY 1, 2, 3, 4
+), l AS (
+  SELECT *, lag(time_ns) OVER w AS pt, lag(score) OVER w AS ps FROM u
+  WINDOW w AS (PARTITION BY query_id, site ORDER BY time_ns, global_id)
+), g AS (
+  SELECT *, sum(CASE WHEN pt IS NULL OR time_ns - pt > 60000000000 OR abs(score - ps) > 0.001 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY query_id, site ORDER BY time_ns, global_id) AS run FROM l
+)
+SELECT query_id, site, min(time_ns) AS start_ns, max(time_ns) AS end_ns, count(*) AS n_hits{more}
+FROM g GROUP BY query_id, site, run{having}
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": _RUNS.format(more="", having=" HAVING count(*) >= 2"),
+    "p2_events": _RUNS.format(more=", max(time_ns) - min(time_ns) AS duration_ns", having=""),
+    "p4_found": """
+        SELECT DISTINCT lower(regexp_replace(site, '^\\s+|\\s+$', '', 'g')) AS site, strftime(make_timestamp(time_ns // 1000), '%Y%m%d') AS obs_day
+        FROM manifest WHERE site IS NOT NULL AND time_ns >= 1104537600000000000""",
+}
