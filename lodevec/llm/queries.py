@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevec.llm import mixing, runs, subset, tokenizer
+from lodevec.llm import mixing, neighbours, runs, subset, tokenizer
 from lodevec.sources.tables import table
 
 
+P3_CELLS = 1024
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse(table(spark, folder, "hits")).where("n_hits >= 2").drop("duration_ns")
 
@@ -19,6 +22,15 @@ def p2_events(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse(table(spark, folder, "hits"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.mutual(neighbours.nearest(table(spark, folder, "frame_vectors"), k=10, min_score=0.95, cells=8))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar frames of every frame whose id is divisible by 50, against all frames."""
+    return neighbours.nearest(table(spark, folder, "frame_vectors"), k=10, cells=P3_CELLS, query_step=50)
+
+
 def p4_subset(spark: SparkSession, folder: str) -> DataFrame:
     return subset.requested(table(spark, folder, "manifest"), table(spark, folder, "subset_requests"))
 
@@ -49,6 +61,8 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_events": p2_events,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p4_found": p4_found,
     "p4_subset": p4_subset,
     "p6_ids": p6_ids,
