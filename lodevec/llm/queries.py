@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from lodevec.llm import mixing, neighbours, runs, subset, tokenizer
+from lodevec.llm import clusters, mixing, neighbours, runs, subset, tokenizer
 from lodevec.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.find(table(spark, folder, "frame_vectors")).where("global_id <> cluster_gid").select("cluster_gid", "global_id").distinct()
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cluster with its size and its three most typical members."""
+    m = clusters.find(table(spark, folder, "frame_vectors"))
+    w = Window.partitionBy("comp", "nth").orderBy(F.desc("typical"), "global_id")
+    top = m.withColumn("r", F.row_number().over(w)).where("r <= 3")
+    return top.groupBy("comp", "nth", "cluster_gid", "n").agg(F.sort_array(F.collect_list(F.struct("r", "global_id"))).alias("t")).select(
+        "cluster_gid", F.col("n").alias("size"), F.col("t.global_id").alias("typical_gids"))
+
+
 P3_CELLS = 1024
 
 
@@ -59,6 +73,8 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p2_found": p2_found,
     "p2_events": p2_events,
     "p3_found": p3_found,
