@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodevec.llm import clusters, mixing, neighbours, runs, subset, tokenizer
+from lodevec.llm import clusters, foul, mixing, neighbours, runs, subset, tokenizer
 from lodevec.sources.tables import table
 
 
@@ -72,6 +72,22 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).where(F.col("score") >= foul.FOUL).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return foul.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return foul.rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return foul.passages(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
@@ -85,6 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_roundtrip": p6_roundtrip,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
+    "p8_passages": p8_passages,
 }
 
 _RUNS = """
