@@ -9,10 +9,13 @@ executor then costs a task, never the work before it.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,11 +50,43 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodevec_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lodevec-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/lodevec.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    sc.addPyFile(f"{folder}/lodevec.zip")
+    sc._lodevec_shipped = True  # noqa: SLF001
+
+
+@contextlib.contextmanager
+def _shuffles_end_with_query(spark: SparkSession):
+    """Shuffle files of a staged table's plan go when it is written: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    try:
+        old = spark.conf.get(key)
+        spark.conf.set(key, "true")
+    except Exception:  # a version without this setting: the cleaner does it later
+        old = None
+    try:
+        yield
+    finally:
+        if old is not None:
+            spark.conf.set(key, old)
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` into the shared folder and read it back; its lineage ends there."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/lodevec/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    with _shuffles_end_with_query(spark):
+        df.write.option("compression", "zstd").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._staged_at = at  # noqa: SLF001
     return out

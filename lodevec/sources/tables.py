@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodevec.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder (a file or a folder of part files)."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
