@@ -38,16 +38,20 @@ def usable(v: Column | str, dim: int = DIM) -> Column:
     return F.coalesce((F.size(v) == dim) & finite(v) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for a row, not once for each use of it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalise(v: Column | str) -> Column:
     """The vector at length one, in doubles; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / F.nullif(n, F.lit(0.0))).otherwise(F.lit(0.0)))
+    v = F.col(v) if isinstance(v, str) else v
+    return let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / F.nullif(n, F.lit(0.0))).otherwise(F.lit(0.0))))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    na, nb = norm(a), norm(b)
-    zero = (na == 0) | (nb == 0)
-    return F.when(F.size(a) != F.size(b), F.lit(None).cast("double")).when(zero, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(na * nb, F.lit(0.0)))
+    n = let(norm(a) * norm(b), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(n, F.lit(0.0))))
+    return F.when(F.size(a) != F.size(b), F.lit(None).cast("double")).otherwise(n)
 
 
 def literal(v) -> Column:
@@ -67,13 +71,17 @@ def stretch(v: Column | str, low: float = 0.01, high: float = 0.99) -> Column:
 
     Percentiles interpolate linearly between the sorted numbers.
     """
-    s = F.array_sort(doubles(v))
+    v = F.col(v) if isinstance(v, str) else v
 
-    def at(p: float) -> Column:
+    def at(s: Column, p: float) -> Column:
         pos = (F.size(s) - 1) * F.lit(p)
         lo = F.floor(pos).cast("int")
         hi = F.least(lo + 1, F.size(s) - 1)
         return F.get(s, lo) + (F.get(s, hi) - F.get(s, lo)) * (pos - lo)
 
-    a, b = at(low), at(high)
-    return F.transform(v, lambda x: F.when(b > a, F.least(F.greatest((x.cast("double") - a) / F.nullif(b - a, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0)))
+    def scale(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return F.transform(v, lambda x: F.when(b > a, F.least(F.greatest((x.cast("double") - a) / F.nullif(b - a, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0)))
+
+    ends = let(F.array_sort(doubles(v)), lambda s: F.struct(at(s, low).alias("a"), at(s, high).alias("b")))
+    return let(ends, scale)

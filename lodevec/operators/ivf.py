@@ -139,17 +139,53 @@ def filtered_search(cells: DataFrame, centroids: DataFrame, frames: DataFrame, q
     return S.search(subset, query, k, **options)
 
 
+def _grid(held, nprobes: list[int], most: int):
+    def run(batches):
+        ids, q, rank, cell_at = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, cell = b.column("global_id").to_numpy(), cell_at[b.column("cell_id").to_numpy()]
+            v = b.column("embedding").flatten().to_numpy().astype(np.float64).reshape(len(g), -1)
+            n = np.sqrt((v * v).sum(1))
+            v /= np.where(n > 0, n, 1)[:, None]
+            for i in range(0, len(ids), 256):
+                s = np.round(q[i : i + 256] @ v.T, V.DIGITS) + 0.0
+                place = rank[i : i + 256][:, cell]
+                for m in nprobes:
+                    a, c = np.nonzero(place < m)
+                    sc, qq, gg = s[a, c], ids[i : i + 256][a], g[c]
+                    o = np.lexsort((gg, -sc, qq))
+                    qq, gg, sc = qq[o], gg[o], sc[o]
+                    first = np.flatnonzero(np.r_[True, qq[1:] != qq[:-1]])[: len(qq)]
+                    keep = np.arange(len(qq)) - np.repeat(first, np.diff(np.r_[first, len(qq)])) < most
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), m, np.int32)), pa.array(qq[keep]), pa.array(gg[keep]), pa.array(sc[keep])], names=["nprobe", "query_id", "global_id", "score"])
+
+    return run
+
+
 def grid(cells: DataFrame, centroids: DataFrame, queries: DataFrame, nprobes: list[int], prefilters: list[int], k: int) -> DataFrame:
     """``(nprobe, prefilter, query_id, rank, global_id, score)`` for every operating point at once.
 
-    Candidates of the widest probe carry the rank of their cell; each point filters, cuts and ranks them.
+    The stated queries (at most ``MOST_QUERIES``, checked) travel as a matrix with the rank of every cell for
+    every query; each batch of rows keeps the best of each probe width.
     """
-    wide = nearest_cells(queries.select("query_id", "embedding"), centroids, max(nprobes))
-    q = wide.select("query_id", F.col("embedding").alias("q"), F.posexplode("cells").alias("cell_rank", "cell_id"))
-    cand = cells.join(q, "cell_id").select("query_id", "cell_rank", "global_id", F.round(V.cosine("embedding", "q"), V.DIGITS).alias("score"))
-    p = cand.select("*", F.explode(F.array(*map(F.lit, nprobes))).alias("nprobe")).where("cell_rank < nprobe")
+    got = queries.select("query_id", "embedding").limit(S.MOST_QUERIES + 1).collect()
+    if len(got) > S.MOST_QUERIES:
+        raise ValueError(f"more than {S.MOST_QUERIES} queries in one batch")
+    ids, c = matrix(centroids)
+    q = np.array([r.embedding for r in got], np.float64).reshape(len(got), -1)
+    n = np.sqrt((q * q).sum(1))
+    q /= np.where(n > 0, n, 1)[:, None]
+    order = np.argsort(-(np.round(q @ c.T, V.DIGITS) + 0.0), axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(ids)), order.shape), 1)
+    cell_at = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    cell_at[ids] = np.arange(len(ids))
+    held = cells.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in got], np.int64), q, rank.astype(np.int32), cell_at))
+    part = cells.select("global_id", "cell_id", "embedding").mapInArrow(_grid(held, nprobes, max(prefilters)), "nprobe int, query_id long, global_id long, score double")
     w = Window.partitionBy("nprobe", "query_id").orderBy(F.desc("score"), "global_id")
-    p = p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(prefilters))
+    p = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(prefilters))
     p = p.select("*", F.explode(F.array(*map(F.lit, prefilters))).alias("prefilter")).where("rank <= prefilter")
     return p.where(F.col("rank") <= k).select("nprobe", "prefilter", "query_id", "rank", "global_id", "score")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodevec.plans import files
+from lodevec.plans import files, searching
 
-_MODULES = [files]
+_MODULES = [searching, files]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
