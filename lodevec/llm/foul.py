@@ -151,6 +151,7 @@ def read(text: pa.Array, places: bool = False):
     place = np.arange(len(out), dtype=np.int64) if places else None
     keep = _unescape(out)
     folded = fold_table()[np.minimum(out, 0x10FFFF)]
+    folded[edge] = 0
     gone = (folded == 0) & ~edge
     if keep is not None:
         gone |= ~keep & ~edge
