@@ -118,3 +118,16 @@ def test_incomplete_groups_time_out(spark, tmp_path):
         assert sorted((r.site, r.state) for r in spark.table("late").collect()) == [("a", "incomplete"), ("b", "complete")]
     finally:
         q.stop()
+
+
+def test_command_line(spark, tiny, tmp_path, capsys):
+    from lodevec.__main__ import main
+    from lodevec.sources import frames
+
+    assert main(["build", "--data", tiny, "--out", str(tmp_path / "ix"), "--cells", "4"]) == 0
+    assert spark.read.parquet(str(tmp_path / "ix/cells")).select("cell_id").distinct().count() <= 4
+    r = frames.frames(spark, tiny).where("site is not null and time_ns is not null and frame_idx is not null").select("site", when.hour_stamp("time_ns").alias("h"), "frame_idx").orderBy("site", "h", "frame_idx").first()
+    assert main(["query", "--data", tiny, r.site, r.h, str(r.frame_idx), "--results", "3", "--csv", str(tmp_path / "csv")]) == 0
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).columns == ["site", "datetime", "score", "source_cdf"]
+    assert main(["validate", "--data", tiny, "--threshold", "non_finite=1e9", "--threshold", "zero_norm=1e9"]) == 0
+    assert main(["bench", "--data", tiny, "--queries", "2"]) == 0
