@@ -153,13 +153,8 @@ def _grid(held, nprobes: list[int], most: int):
                 s = np.round(q[i : i + 256] @ v.T, V.DIGITS) + 0.0
                 place = rank[i : i + 256][:, cell]
                 for m in nprobes:
-                    a, c = np.nonzero(place < m)
-                    sc, qq, gg = s[a, c], ids[i : i + 256][a], g[c]
-                    o = np.lexsort((gg, -sc, qq))
-                    qq, gg, sc = qq[o], gg[o], sc[o]
-                    first = np.flatnonzero(np.r_[True, qq[1:] != qq[:-1]])[: len(qq)]
-                    keep = np.arange(len(qq)) - np.repeat(first, np.diff(np.r_[first, len(qq)])) < most
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), m, np.int32)), pa.array(qq[keep]), pa.array(gg[keep]), pa.array(sc[keep])], names=["nprobe", "query_id", "global_id", "score"])
+                    qq, gg, sc = S.best_of_rows(np.where(place < m, s, -np.inf), ids[i : i + 256], g, most)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qq), m, np.int32)), pa.array(qq), pa.array(gg), pa.array(sc)], names=["nprobe", "query_id", "global_id", "score"])
 
     return run
 

@@ -78,14 +78,42 @@ def search(frames: DataFrame, query, k: int = 24, min_score: float | None = None
         found = found.where(F.col("score") >= F.lit(float(min_score)))
     if diversify_seconds is None:
         return ranked(found.orderBy(F.desc("score"), "global_id").limit(limit)).select("rank", *ATTRIBUTES)
-    take, total = max(512, 4 * limit), None
+    take = max(512, 4 * limit)
     while True:
-        cand = found.select(*ATTRIBUTES).orderBy(F.desc("score"), "global_id").limit(take)
-        out = diversify(cand, diversify_seconds, limit)
-        if total is None:
-            total = found.count()
-        if take >= total or out.count() >= limit:
-            return out.select("rank", *ATTRIBUTES)
+        cand = found.select(*ATTRIBUTES).orderBy(F.desc("score"), "global_id").limit(take).persist()
+        out = diversify(cand, diversify_seconds, limit).select("rank", *ATTRIBUTES)
+        if cand.count() < take or out.count() >= limit:
+            return out
+        cand.unpersist()
+        take *= 2
+
+
+def search_split(manifest: DataFrame, vectors: DataFrame, query, k: int = 24, min_score: float | None = None, diversify_seconds: float | None = 30) -> DataFrame:
+    """:func:`search` over all frames without joining them first.
+
+    Vectors alone are scored; the best few (never more than asked for here) are broadcast to the manifest. Repeated
+    rows count once; vectors without a manifest row are no frames. The number taken doubles while too few
+    hits are kept and there are more.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if len(query) != V.DIM:
+        raise ValueError(f"a query has {V.DIM} numbers, not {len(query)}")
+    limit = k if min_score is None else MOST_HITS
+    found = scored(vectors, query).select("global_id", "score")
+    if min_score is not None:
+        found = found.where(F.col("score") >= F.lit(float(min_score)))
+    take = max(512, 4 * limit)
+    while True:
+        best = found.orderBy(F.desc("score"), "global_id").limit(take).persist()
+        n = best.count()
+        cand = best.distinct()
+        rows = manifest.join(F.broadcast(cand) if take <= 1 << 16 else cand, "global_id").select(*ATTRIBUTES).persist()
+        out = diversify(rows, diversify_seconds, limit).select("rank", *ATTRIBUTES)
+        if n < take or out.count() >= limit:
+            return out
+        rows.unpersist()
+        best.unpersist()
         take *= 2
 
 
@@ -120,6 +148,19 @@ def query(manifest: DataFrame, frames: DataFrame, site: str, hour, frame: int, *
     return export(search(frames, query_vector(frames, resolve(manifest, site, hour, frame)), **options).orderBy("rank"))
 
 
+def best_of_rows(s: np.ndarray, ids: np.ndarray, g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best finite scores of each row, ties to the lower id."""
+    kk = min(k, s.shape[1])
+    kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+    a, c = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+    sc, qq, gg = s[a, c], ids[a], g[c]
+    o = np.lexsort((gg, -sc, qq))
+    qq, gg, sc = qq[o], gg[o], sc[o]
+    first = np.flatnonzero(np.r_[True, qq[1:] != qq[:-1]])[: len(qq)]
+    keep = np.arange(len(qq)) - np.repeat(first, np.diff(np.r_[first, len(qq)])) < k
+    return qq[keep], gg[keep], sc[keep]
+
+
 def _batch(queries, k: int, skip_self: bool):
     def run(batches):
         ids, q = queries.value
@@ -135,16 +176,7 @@ def _batch(queries, k: int, skip_self: bool):
                 s = np.round(q[i : i + 512] @ v.T, V.DIGITS) + 0.0
                 if skip_self:
                     s[ids[i : i + 512][:, None] == g[None, :]] = -np.inf
-                kk = min(k, s.shape[1])
-                kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-                a, c = np.nonzero(s >= kth[:, None])
-                sc, qq, gg = s[a, c], ids[i : i + 512][a], g[c]
-                o = np.lexsort((gg, -sc, qq))
-                qq, gg, sc = qq[o], gg[o], sc[o]
-                first = np.flatnonzero(np.r_[True, qq[1:] != qq[:-1]])
-                r = np.arange(len(qq)) - np.repeat(first, np.diff(np.r_[first, len(qq)]))
-                keep = (r < k) & np.isfinite(sc)
-                out.append((qq[keep], gg[keep], sc[keep]))
+                out.append(best_of_rows(s, ids[i : i + 512], g, k))
             qq, gg, sc = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(qq), pa.array(gg), pa.array(sc)], names=["query_id", "global_id", "score"])
 

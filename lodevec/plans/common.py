@@ -31,7 +31,11 @@ def frames(spark, folder):
 
 def first_query(vecs):
     """The first frame's vector."""
-    return src.query_vector(vecs, vecs.agg(F.min("global_id").alias("g")).first().g)
+    return vecs.select("global_id", "embedding").orderBy("global_id", "embedding").first().embedding
+
+
+def usable_vectors(spark, folder):
+    return src.usable_vectors(spark, folder)
 
 
 def query_set(vecs):
@@ -41,4 +45,4 @@ def query_set(vecs):
 
 QSET = "qs AS (SELECT global_id AS query_id, embedding AS qv FROM v WHERE global_id % 50 = 0)"
 
-__all__ = ["COS", "M", "Q", "QSET", "SITE", "UTC", "V", "first_query", "frames", "manifest", "query_set", "table", "vectors"]
+__all__ = ["COS", "M", "Q", "QSET", "SITE", "UTC", "V", "first_query", "frames", "manifest", "query_set", "table", "usable_vectors", "vectors"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodevec.functions import vector as vec
 from lodevec.operators import ivf, metrics, sample, search, validate
 from lodevec.operators.filters import in_windows
-from lodevec.plans.common import COS, QSET, M, Q, V, first_query, frames, manifest, query_set, table, vectors
+from lodevec.plans.common import COS, QSET, M, Q, V, first_query, frames, manifest, query_set, table, usable_vectors, vectors
 
 SITES = ["brqu", "dovr", "fjoa"]
 WINDOWS = [(1136073600000000000, 1137283199999999999), (1138752000000000000, 1139961599999999999)]  # two fortnights of 2006
@@ -18,23 +18,23 @@ CELLS, PROBE, PREFILTER, K = 16, 4, 500, 24
 
 
 def search_exact(spark, folder):
-    f = frames(spark, folder)
-    return search.search(f, first_query(f), k=K, diversify_seconds=None)
+    v = usable_vectors(spark, folder)
+    return search.search_split(manifest(spark, folder), v, first_query(v), k=K, diversify_seconds=None)
 
 
 def search_diversified(spark, folder):
-    f = frames(spark, folder)
-    return search.search(f, first_query(f), k=K, diversify_seconds=30)
+    v = usable_vectors(spark, folder)
+    return search.search_split(manifest(spark, folder), v, first_query(v), k=K, diversify_seconds=30)
 
 
 def search_threshold(spark, folder):
-    f = frames(spark, folder)
-    return search.search(f, first_query(f), min_score=0.3, diversify_seconds=None)
+    v = usable_vectors(spark, folder)
+    return search.search_split(manifest(spark, folder), v, first_query(v), min_score=0.3, diversify_seconds=None)
 
 
 def search_filtered(spark, folder):
     f = frames(spark, folder)
-    return search.search(f, first_query(f), k=K, diversify_seconds=3600, sites=SITES, windows=WINDOWS)
+    return search.search(f, first_query(usable_vectors(spark, folder)), k=K, diversify_seconds=3600, sites=SITES, windows=WINDOWS)
 
 
 def search_export(spark, folder):

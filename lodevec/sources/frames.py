@@ -19,10 +19,15 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("global_id", code("site").alias("site"), "time_ns", "shard_path", "frame_idx").distinct()
 
 
+def usable_vectors(spark: SparkSession, folder: str, dim: int = 64) -> DataFrame:
+    """Usable vectors as they are stored, repeats and all: no shuffle."""
+    v = table(spark, folder, "frame_vectors").where("global_id is not null")
+    return v.where(usable("embedding", dim)).select("global_id", "embedding")
+
+
 def vectors(spark: SparkSession, folder: str, dim: int = 64) -> DataFrame:
     """Usable vectors, exact repeats once."""
-    v = table(spark, folder, "frame_vectors").where("global_id is not null")
-    return v.where(usable("embedding", dim)).select("global_id", "embedding").distinct()
+    return usable_vectors(spark, folder, dim).distinct()
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
