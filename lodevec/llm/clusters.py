@@ -22,10 +22,11 @@ A cluster is a maximal set of at least ``least`` ids any two of which have a cos
    medoid: the maximal sets that hold the medoid lie among its neighbours and are enumerated there;
    then the medoid is set aside and the next one follows. Members with the same neighbours count as
    one, and members with fewer than ``least - 1`` neighbours are dropped first. This finds every maximal
-   set of the component. Beyond ``STEPS`` steps (graphs that are no clusters at all) the rest of the
-   component is split greedily: the medoid takes its neighbours by similarity as long as all agree.
+   set of the component. After ``STEPS`` steps a task hands the rest of its search, cut into
+   subgraphs, to further tasks, round by round until nothing is left; no set is given up.
    Components above ``LARGE`` members are compared block by block on many tasks; members similar
-   to all others stand aside, so that one task sees the others only.
+   to all others stand aside, so that the sets of the others only are searched: in one task, or,
+   where they are more than ``LARGE``, in the neighbourhood of each by itself.
 
 Defined results: unusable vectors and null ids take no part; an id counts once, given several vectors
 it is similar where one of them is; ids in several maximal sets appear in each; repeated rows change
@@ -34,7 +35,9 @@ nothing; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +61,13 @@ STRANGERS = 150
 SMALL = 24  # buckets up to this size are compared by shifts, larger ones by matrix products
 CROWD = 4096
 LARGE = 30_000
-STEPS = 200_000
+STEPS = 200_000  # of one task in the search for maximal sets; what is left then goes to further tasks
+ROOM = 1_000_000  # members of the sets that one task finds
+PARTS = 16
+ANCHORS = 1000
 MEMBERS = "comp long, nth long, cluster_gid long, global_id long, n long, typical double"
+SPLIT = MEMBERS + ", todo binary"
+SPLIT_NAMES = [x.split()[0] for x in SPLIT.split(", ")]
 
 
 def shape(n: int) -> tuple[int, int, int]:
@@ -307,62 +315,92 @@ def _merge_ids(a: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def maximal_sets(adj: np.ndarray, weight: np.ndarray, least: int, steps: int = STEPS) -> list[np.ndarray]:
-    """Maximal cliques of weight ``least`` or more, medoid by medoid (highest degree first)."""
-    n = len(adj)
-    near = [int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little") for row in adj]
-    for i in range(n):
-        near[i] &= ~(1 << i)
+def _mask(on: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
+
+
+def _bits(mask: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(mask.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little").astype(bool)
+
+
+def search_of(adj: np.ndarray, weight: np.ndarray, **more) -> dict:
+    """A search for maximal cliques at its start: medoid by medoid, highest degree first."""
+    order = sorted(range(len(adj)), key=lambda i: (-int(weight[adj[i]].sum()), i))
+    return {"adj": adj, "weight": weight, "stack": [], "anchors": order, "gone": 0} | more
+
+
+def is_open(work: dict) -> bool:
+    return bool(work["stack"] or work["anchors"])
+
+
+def advance(work: dict, least: int, steps: int, room: int = ROOM) -> list[int]:
+    """Go on with a search for ``steps`` steps or until the sets found have ``room`` members; what is left stays in it."""
+    weight, stack, anchors, gone, at = work["weight"], work["stack"], work["anchors"], work["gone"], 0
+    near = [_mask(row) & ~(1 << i) for i, row in enumerate(work["adj"])]
     heavy = lambda mask: sum(int(weight[i]) for i in _ones(mask))
     found: list[int] = []
-    left = [steps]
-
-    def grow(chosen: int, cand: int, done: int) -> bool:
-        stack = [(chosen, cand, done)]
-        while stack:
-            chosen, cand, done = stack.pop()
-            left[0] -= 1
-            if left[0] < 0:
-                return False
-            if not cand:
-                if not done and heavy(chosen) >= least:
-                    found.append(chosen)
-                continue
-            pivot = max(_ones(cand | done), key=lambda i: (near[i] & cand).bit_count())
-            for i in _ones(cand & ~near[pivot]):
-                stack.append((chosen | 1 << i, cand & near[i], done & near[i]))
-                cand &= ~(1 << i)
-                done |= 1 << i
-        return True
-
-    order = sorted(range(n), key=lambda i: (-int(weight[adj[i]].sum()), i))
-    gone = 0
-    for at, m in enumerate(order):
-        if heavy((near[m] & ~gone) | 1 << m) < least:
+    while steps > 0 and room > 0:
+        if not stack:
+            if at == len(anchors):
+                break
+            m = anchors[at]
+            at += 1
+            stack.append((1 << m, near[m] & ~gone, near[m] & gone))
             gone |= 1 << m
+        steps -= 1
+        chosen, cand, done = stack.pop()
+        if (chosen | cand).bit_count() < least and heavy(chosen | cand) < least:
             continue
-        if not grow(1 << m, near[m] & ~gone, near[m] & gone):
-            return _greedy(adj, weight, least, order)
-        gone |= 1 << m
-    return [np.array(list(_ones(x)), np.int64) for x in found]
-
-
-def _greedy(adj, weight, least, order) -> list[np.ndarray]:
-    free, out = np.ones(len(adj), bool), []
-    for m in order:
-        if not free[m]:
+        if not cand:
+            if not done:
+                found.append(chosen)
+                room -= heavy(chosen)
             continue
-        ok, got = adj[m] & free, [m]
-        for i in order:
-            if i != m and ok[i]:
-                got.append(i)
-                ok &= adj[i]
-        if weight[got].sum() >= least:
-            out.append(np.array(got))
-            free[got] = False
+        pivot = max(_ones(cand | done), key=lambda i: (near[i] & cand).bit_count())
+        for i in _ones(cand & ~near[pivot]):
+            stack.append((chosen | 1 << i, cand & near[i], done & near[i]))
+            cand &= ~(1 << i)
+            done |= 1 << i
+    work["anchors"], work["gone"] = anchors[at:], gone
+    return found
+
+
+def _cut(work: dict, stack: list, anchors: list[int], gone: int) -> dict:
+    """Part of a search, with the rows it needs alone."""
+    adj, n = work["adj"], len(work["adj"])
+    used = np.zeros(n, bool)
+    for state in stack:
+        used |= _bits(state[0] | state[1] | state[2], n)
+    if anchors:
+        used |= adj[anchors].any(0)
+        used[anchors] = True
+    at, new = np.flatnonzero(used), np.cumsum(used) - 1
+    sub = lambda mask: _mask(_bits(mask, n)[at])
+    keep = used[work["cls"]]
+    return {"adj": adj[np.ix_(at, at)], "weight": work["weight"][at], "stack": [tuple(map(sub, x)) for x in stack], "anchors": [int(new[m]) for m in anchors], "gone": sub(gone),
+            "ids": work["ids"][keep], "cls": new[work["cls"][keep]], "u": work["u"][keep]}
+
+
+def divide(work: dict, parts: int = PARTS) -> list[dict]:
+    """The rest of a search as up to ``2 * parts`` searches of their own."""
+    out = [_cut(work, mine, [], 0) for i in range(parts) if (mine := work["stack"][i::parts])]
+    gone, step = work["gone"], max(1, -(-len(work["anchors"]) // parts))
+    for i in range(0, len(work["anchors"]), step):
+        mine = work["anchors"][i : i + step]
+        out.append(_cut(work, [], mine, gone))
+        for m in mine:
+            gone |= 1 << m
     return out
 
 
+def maximal_sets(adj: np.ndarray, weight: np.ndarray, least: int, steps: int = STEPS) -> list[np.ndarray]:
+    """All maximal cliques of weight ``least`` or more, ``steps`` steps at a time."""
+    work, found = search_of(adj, weight), []
+    while is_open(work):
+        found += advance(work, least, steps)
+    return [np.array(list(_ones(x)), np.int64) for x in found]
+
+
 def _ones(mask: int):
     while mask:
         low = mask & -mask
@@ -370,52 +408,146 @@ def _ones(mask: int):
         mask ^= low
 
 
-def clusters_of(gid: np.ndarray, v: np.ndarray, min_cos: float, least: int) -> list[np.ndarray]:
-    """All clusters among some vectors, as arrays of distinct ids."""
+def _adjacency(gid: np.ndarray, v: np.ndarray, u: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ids, and which of them are similar."""
     ids, group = np.unique(gid, return_inverse=True)
-    n = len(ids)
-    if n < least:
-        return []
-    u = vec.unit(v)
     adj = np.zeros((len(gid), len(gid)), bool)
     for i in range(0, len(gid), 2048):
         adj[i : i + 2048] = _near(u[i : i + 2048], u, min_cos, v[i : i + 2048], v)
-    adj = _merge_ids(adj, group, n)
-    if len(group) == n:
+    adj = _merge_ids(adj, group, len(ids))
+    if len(group) == len(ids):
         adj = adj[np.argsort(gid)][:, np.argsort(gid)]
     np.fill_diagonal(adj, True)
-    if adj.all():
-        return [ids]
-    at = np.arange(n)
+    return ids, adj
+
+
+def _twins(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, class, count) of equal rows: members with the same neighbours (themselves among them) are in the same sets."""
+    bits = np.ascontiguousarray(np.packbits(rows, axis=1))
+    return np.unique(bits.view(f"V{bits.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)[1:]
+
+
+def _first(ids: np.ndarray, gid: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The first vector of each id."""
+    o = np.argsort(gid, kind="stable")
+    return u[o[np.searchsorted(gid[o], ids)]]
+
+
+def _search(gid: np.ndarray, v: np.ndarray, min_cos: float, least: int) -> dict | None:
+    """The search for all clusters among some vectors."""
+    if len(np.unique(gid)) < least:
+        return None
+    u = vec.unit(v)
+    ids, adj = _adjacency(gid, v, u, min_cos)
+    at = np.arange(len(ids))
     while len(at):
         keep = adj.sum(1) >= least
         if keep.all():
             break
         at, adj = at[keep], adj[keep][:, keep]
     if not len(at):
+        return None
+    first, cls, cnt = _twins(adj)
+    return search_of(adj[first][:, first], cnt, ids=ids[at], cls=cls, u=_first(ids[at], gid, u))
+
+
+def clusters_of(gid: np.ndarray, v: np.ndarray, min_cos: float, least: int) -> list[np.ndarray]:
+    """All clusters among some vectors, as arrays of distinct ids."""
+    work = _search(gid, v, min_cos, least)
+    if work is None:
         return []
-    # members with the same neighbours (themselves among them) are in the same sets
-    bits = np.ascontiguousarray(np.packbits(adj, axis=1))
-    _, first, cls, cnt = np.unique(bits.view(f"V{bits.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
-    sets = maximal_sets(adj[first][:, first], cnt, least)
-    return [ids[at[np.isin(cls, s)]] for s in sets]
+    sets = maximal_sets(work["adj"], work["weight"], least)
+    return [work["ids"][np.isin(work["cls"], s)] for s in sets]
 
 
-def _typical(members: np.ndarray, gid: np.ndarray, u: np.ndarray) -> np.ndarray:
+def _typical(u: np.ndarray) -> np.ndarray:
     """Mean cosine of each member to the others (of an id with several vectors, the first's)."""
-    o = np.argsort(gid, kind="stable")
-    at = o[np.searchsorted(gid[o], members)]
-    w = u[at].astype(np.float64)
-    return (w @ w.sum(0) - 1) / max(1, len(members) - 1)
+    w = u.astype(np.float64)
+    return (w @ w.sum(0) - 1) / max(1, len(w) - 1)
+
+
+def _table(comp: int, work: dict | None, least: int) -> pa.Table:
+    """What ``STEPS`` steps of a search find, and the rest of it for further tasks."""
+    out, todo = [], []
+    if work is not None:
+        n = len(work["adj"])
+        for x in advance(work, least, STEPS):
+            at = _bits(x, n)[work["cls"]]
+            g = work["ids"][at]
+            # a set's number follows from its members, whichever task finds it
+            nth = int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "big") >> 1
+            out.append((np.full(len(g), nth), np.full(len(g), g[0]), g, np.full(len(g), len(g)), _typical(work["u"][at])))
+        if is_open(work):
+            todo = [pickle.dumps(w | {"adj": np.packbits(w["adj"], axis=1)}, 5) for w in divide(work)]
+    k, c, g, n, ty = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 4 + (np.zeros(0),)
+    none = lambda kind: pa.nulls(len(todo), kind)
+    cols = [pa.concat_arrays([pa.array(x, kind), none(kind)]) for x, kind in ((k, pa.int64()), (c, pa.int64()), (g, pa.int64()), (n, pa.int64()), (ty, pa.float64()))]
+    return pa.Table.from_arrays([pa.array(np.full(len(g) + len(todo), comp), pa.int64()), *cols, pa.concat_arrays([pa.nulls(len(g), pa.binary()), pa.array(todo, pa.binary())])], names=SPLIT_NAMES)
 
 
 def _split(min_cos: float, least: int):
     def run(key, t):
+        return _table(key[0].as_py(), _search(t["global_id"].to_numpy(), _rows(t["v"]), min_cos, least), least)
+
+    return run
+
+
+def _resume(least: int):
+    def run(batches):
+        for b in batches:
+            for comp, data in zip(b.column("comp").to_pylist(), b.column("todo").to_pylist()):
+                w = pickle.loads(data)
+                w["adj"] = np.unpackbits(w["adj"], axis=1, count=len(w["adj"])).astype(bool)
+                yield from _table(comp, w, least).to_batches()
+
+    return run
+
+
+def _all_sets(split: DataFrame, least: int) -> DataFrame:
+    """All members of all sets: what one task's budget leaves over goes to further tasks, round by round."""
+    out = None
+    while True:
+        split = stage(split, "sets")
+        members = split.where("todo is null").drop("todo")
+        out = members if out is None else out.unionByName(members)
+        todo = split.where("todo is not null").select("comp", "todo")
+        n = todo.count()
+        if not n:
+            return out
+        split = todo.repartition(min(n, 4000)).mapInArrow(_resume(least), SPLIT)
+
+
+def _around(min_cos: float, least: int):
+    """The sets of some members' neighbourhoods: each with its neighbours later in the order of degrees."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
         gid, v = t["global_id"].to_numpy(), _rows(t["v"])
         u = vec.unit(v)
-        out = [(np.full(len(s), k), np.full(len(s), s.min()), s, np.full(len(s), len(s)), _typical(s, gid, u)) for k, s in enumerate(clusters_of(gid, v, min_cos, least))]
-        k, c, g, n, ty = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 4 + (np.zeros(0),)
-        return pa.table({"comp": pa.array(np.full(len(g), key[0].as_py()), pa.int64()), "nth": pa.array(k, pa.int64()), "cluster_gid": pa.array(c, pa.int64()), "global_id": pa.array(g, pa.int64()), "n": pa.array(n, pa.int64()), "typical": pa.array(ty, pa.float64())})
+        ids, first, group = np.unique(gid, return_index=True, return_inverse=True)
+        place = np.empty(len(ids), np.int64)
+        place[np.lexsort((ids, t["deg"].to_numpy()[first]))] = np.arange(len(ids))
+        mine = t["mine"].to_numpy(zero_copy_only=False)[first]
+        for m in np.flatnonzero(mine):
+            r = np.flatnonzero(group == m)
+            near = np.zeros(len(ids), bool)
+            near[group[_near(u[r], u, min_cos, v[r], v).any(0)]] = True
+            near[m] = False
+            if (near & (place > place[m])).sum() + 1 < least:
+                continue
+            r = np.flatnonzero(near[group])
+            others, adj = _adjacency(gid[r], v[r], u[r], min_cos) if len(r) else (ids[:0], np.zeros((0, 0), bool))
+            before = place[near] < place[m]
+            full = np.ones((len(others) + 1, len(others) + 1), bool)
+            full[1:, 1:] = adj
+            status = np.r_[2, before.astype(np.uint8)]  # m itself, later ones, earlier ones
+            one, cls, cnt = _twins(np.c_[full, status == 0, status == 2])
+            full, status = full[one][:, one], status[one]
+            state = tuple(_mask(status == s) for s in (2, 0, 1))
+            names = np.r_[ids[m], others]
+            o = np.argsort(names)
+            work = {"adj": full, "weight": cnt, "stack": [state], "anchors": [], "gone": 0, "ids": names[o], "cls": cls[o], "u": _first(names[o], gid, u)}
+            yield from _table(key[0].as_py(), work, least).to_batches()
 
     return run
 
@@ -450,9 +582,18 @@ def _large(members: DataFrame, sizes: DataFrame, min_cos: float, least: int) ->
     deg = pairs.groupBy("comp", "i", "j").applyInArrow(_block_degrees(min_cos), "comp long, global_id long, deg long").groupBy("comp", "global_id").agg(F.sum("deg").alias("deg"))
     deg = stage(m.select("comp", "global_id", "v", "size").join(deg, ["comp", "global_id"]), "degrees")
     core = deg.where("deg = size - 1").select("comp", "global_id")
-    rest = deg.where(f"deg < size - 1 and deg >= {least - 1}").select("comp", "global_id", "v")
+    rest = deg.where(f"deg < size - 1 and deg >= {least - 1}").select("comp", "global_id", "v", "deg")
     # sets of the others: every one of them together with the core; a lone core is a set itself
-    sets = rest.groupBy("comp").applyInArrow(_split(min_cos, 1), MEMBERS).select("comp", F.col("nth").alias("part"), "global_id", F.lit(False).alias("core"))
+    rests = rest.groupBy("comp").agg(F.countDistinct("global_id").alias("n_rest"))
+    rest = rest.join(rests, "comp")
+    split = rest.where(F.col("n_rest") <= LARGE).groupBy("comp").applyInArrow(_split(min_cos, 1), SPLIT)
+    # where the others are many, every one's neighbourhood is searched for itself
+    parts = F.ceil(F.col("n_rest") / F.lit(ANCHORS)).cast("int")
+    many = rest.where(F.col("n_rest") > LARGE).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(
+        "comp", "part", "global_id", "v", "deg", (F.pmod(F.xxhash64("global_id"), parts.cast("long")) == F.col("part")).alias("mine"))
+    around = _around(min_cos, 1)
+    split = split.unionByName(many.groupBy("comp", "part").applyInArrow(around, SPLIT))
+    sets = _all_sets(split, 1).select("comp", F.col("nth").alias("part"), "global_id", F.lit(False).alias("core"))
     n_core = core.groupBy("comp").agg(F.count("*").alias("n_core"), F.min("global_id").alias("least_core"))
     keyed = sets.select("comp", "part").distinct()
     with_core = core.join(keyed, "comp", "left").select("comp", F.coalesce("part", F.lit(-1)).alias("part"), "global_id", F.lit(True).alias("core"))
@@ -477,7 +618,7 @@ def find(vectors: DataFrame, min_cos: float = 0.70, least: int = 8, seed: int =
     members = roots.join(sizes.select("comp", "size"), "comp")
     packed = vectors.select("global_id", "embedding").mapInArrow(_pack_rows, "global_id long, v binary")
     placed = packed.join(members, "global_id")
-    out = placed.where(F.col("size") <= LARGE).groupBy("comp").applyInArrow(_split(min_cos, least), MEMBERS)
+    out = _all_sets(placed.where(F.col("size") <= LARGE).groupBy("comp").applyInArrow(_split(min_cos, least), SPLIT), least)
     if sizes.where(F.col("size") > LARGE).limit(1).count():
         big = placed.where(F.col("size") > LARGE).groupBy("comp", "global_id").agg(F.min("v").alias("v"))
         out = out.unionByName(_large(big, sizes.where(F.col("size") > LARGE), min_cos, least))

@@ -84,6 +84,58 @@ def test_loose_components_split_into_all_maximal_sets():
         assert clusters.maximal_sets(adj, np.ones(n, int), 3, steps=1) is not None
 
 
+def everything(n, adj, least):
+    full = [set(c) for k in range(1, n + 1) for c in itertools.combinations(range(n), k) if adj[np.ix_(c, c)].all()]
+    return sorted(sorted(c) for c in full if not any(c < d for d in full) and len(c) >= least)
+
+
+def test_spent_steps_lose_no_set():
+    rng = np.random.default_rng(5)
+    adj = np.triu(rng.random((14, 14)) < 0.75, 1)
+    adj = adj | adj.T | np.eye(14, dtype=bool)
+    want = everything(14, adj, 3)
+    assert sorted(sorted(int(i) for i in s) for s in clusters.maximal_sets(adj, np.ones(14, int), 3, steps=2)) == want
+    # the same by searches that are cut again and again
+    todo, got = [clusters.search_of(adj, np.ones(14, int), ids=np.arange(14), cls=np.arange(14), u=np.zeros((14, 1)))], []
+    while todo:
+        w = todo.pop()
+        got += [[int(w["ids"][i]) for i in clusters._ones(x)] for x in clusters.advance(w, 3, 2)]
+        todo += clusters.divide(w, 3)
+    assert sorted(map(sorted, got)) == want
+
+
+@pytest.fixture(scope="module")
+def loose():
+    """Vectors in a ring, each similar to the five before and after it: twenty overlapping sets of six, one component."""
+    angle = np.arange(20) * 2 * np.pi / 20
+    ring = np.stack([np.cos(angle), np.sin(angle)], 1)
+    x = np.zeros((20, 64), np.float32)
+    x[:, :2] = ring
+    x[:, 2] = np.sqrt((0.7 - np.cos(5.5 * 2 * np.pi / 20)) / 0.3)  # cosine 0.70 between the fifth and the sixth
+    return np.arange(1, 21), x
+
+
+@pytest.mark.parametrize("large", [30_000, 9])
+def test_search_goes_on_in_further_tasks(spark, loose, monkeypatch, large):
+    g, x = loose
+    monkeypatch.setattr(clusters, "LARGE", large)
+    comp = spark.createDataFrame([(int(i), [float(f) for f in v]) for i, v in zip(g, x)], VEC).mapInArrow(clusters._pack_rows, "global_id long, v binary").selectExpr("1L as comp", "global_id", "v", "20L as size")
+    want = sorted(sorted((i + j) % 20 + 1 for j in range(6)) for i in range(20))
+    if large == 9:
+        got = clusters._large(comp.drop("size"), comp.select("comp", "size").distinct(), 0.7, 6)
+    else:
+        # work that a spent budget left over: every search untouched
+        u = vec.unit(x)
+        work = clusters.search_of(clusters._adjacency(g, x, u, 0.7)[1], np.ones(20, int), ids=g, cls=np.arange(20), u=u)
+        rows = [(1, clusters.pickle.dumps(w | {"adj": np.packbits(w["adj"], axis=1)}, 5)) for w in clusters.divide(work)]
+        todo = spark.createDataFrame(rows, "comp long, todo binary").selectExpr("comp", *[f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in clusters.MEMBERS.split(", ")[1:]], "todo")
+        got = clusters._all_sets(todo, 6)
+    by = {}
+    for r in got.collect():
+        by.setdefault((r.comp, r.nth), []).append(r.global_id)
+    assert sorted(map(sorted, by.values())) == want
+
+
 def test_two_clusters_with_a_bridge():
     rng = np.random.default_rng(2)
     a, b = np.eye(64)[0], np.eye(64)[0] * 0.6 + np.eye(64)[1] * 0.8
