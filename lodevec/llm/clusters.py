@@ -12,8 +12,9 @@ A cluster is a maximal set of at least ``least`` ids any two of which have a cos
    of vectors (chance company per bucket stays about constant).
 3. *Verification.* Within a band's bucket the Jaccard of two sets is exact: a link needs ``JACCARD``, and
    a cosine of ``min_cos`` up to the rounding of the bytes (``ROUNDING``; it is tested first, as it costs less). Out of a task comes one
-   link for each row, to the least id it is connected to there, never a list of pairs. Buckets above ``CROWD``
-   rows are peeled: all that are similar to one of the lowest ids join it and leave. Rows that no band
+   link for each row, to the least id it is connected to there, never a list of pairs. A bucket's links connect
+   every two rows found similar in it; buckets above ``CROWD`` rows are peeled first (all that are similar to one of the
+   lowest ids join it and leave), then rows of different groups are compared. Rows that no band
    joined are compared with the heads of the groups found where they arrive. Exact copies
    are joined to one of them per input batch before anything travels.
 4. *Connected components* of the stars, by staged rounds.
@@ -171,26 +172,56 @@ def _lead(hashes: Hashes):
 
 
 def _bucket_links(u: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows of one bucket: of each row, to the first and the last similar to it."""
+    """Links among the rows of one bucket, by which any two similar rows are connected.
+
+    Of each row, to the first and the last similar to it; and where these don't connect it to the others it is similar to, to them.
+    """
     n = len(u)
     if n > CROWD:
-        left, a, b = np.arange(n), [], []
-        while len(left):
-            heads = left[:64]
-            near = u[left] @ u[heads].T >= min_cos
-            near[np.arange(len(heads)), np.arange(len(heads))] = True
-            has = near.any(1)
-            a.append(left[has])
-            b.append(heads[near[has].argmax(1)])
-            has[: len(heads)] = True
-            left = left[~has]
-        return np.concatenate(a), np.concatenate(b)
+        return _crowd_links(u, min_cos)
     near = u @ u.T >= min_cos
     me = np.arange(n)
     near[me, me] = True
     low, high = near.argmax(1), n - 1 - near[:, ::-1].argmax(1)
     a, b = low != me, high != me
-    return np.r_[me[a], me[b]], np.r_[low[a], high[b]]
+    x, y = np.r_[me[a], me[b]], np.r_[low[a], high[b]]
+    many = np.flatnonzero(near.sum(1) - 1 > a.astype(int) + b)
+    if len(many):
+        root = connect(n, x, y)
+        i, j = np.nonzero(near[many] & (root[many][:, None] != root[None, :]))
+        x, y = np.r_[x, many[i]], np.r_[y, j]
+    return x, y
+
+
+def _crowd_links(u: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a crowd: peeled by heads, then the rows of different groups are compared in blocks."""
+    n = len(u)
+    left, a, b = np.arange(n), [], []
+    while len(left):
+        heads = left[:64]
+        near = u[left] @ u[heads].T >= min_cos
+        near[np.arange(len(heads)), np.arange(len(heads))] = True
+        has = near.any(1)
+        a.append(left[has])
+        b.append(heads[near[has].argmax(1)])
+        has[: len(heads)] = True
+        left = left[~has]
+    root = connect(n, np.concatenate(a), np.concatenate(b))
+    o = np.argsort(root, kind="stable")
+    for i in range(0, n, 1024):
+        for j in range(i, n, 1024):
+            p, q = o[i : i + 1024], o[j : j + 1024]
+            rp, rq = root[p], root[q]
+            if (rp == rq[0]).all() and (rq == rq[0]).all():
+                continue
+            r, c = np.nonzero((u[p] @ u[q].T >= min_cos) & (rp[:, None] != rq[None, :]))
+            if len(r):
+                _, one = np.unique(rp[r] * n + rq[c], return_index=True)
+                r, c = r[one], c[one]
+                a.append(p[r])
+                b.append(q[c])
+                root = connect(n, rp[r], rq[c])[root]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _links(hashes: Hashes, min_cos: float):

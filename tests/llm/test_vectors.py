@@ -136,6 +136,22 @@ def test_search_goes_on_in_further_tasks(spark, loose, monkeypatch, large):
     assert sorted(map(sorted, by.values())) == want
 
 
+@pytest.mark.parametrize("crowd", [4096, 4])
+def test_links_of_a_bucket_connect_all_that_are_similar(monkeypatch, crowd):
+    monkeypatch.setattr(clusters, "CROWD", crowd)
+    # eight alike; two lower and two higher rows, each similar to one half of them
+    e = np.eye(64)
+    at = lambda angle, n: [np.cos(angle) * e[0] + np.sin(angle) * e[1]] * n
+    low = [*at(-0.7227, 1), *at(1.3662, 1)]
+    core = [*at(0, 4), *at(0.6435, 4)]
+    rng = np.random.default_rng(0)
+    for x in ([*low, *core, *low[::-1]], rng.standard_normal((300, 3)) @ e[:3], rng.standard_normal((700, 7)) @ e[:7]):
+        u = vec.unit(np.array(x, np.float32))
+        near = u @ u.T >= 0.7
+        want = clusters.connect(len(u), *np.nonzero(near))
+        assert (clusters.connect(len(u), *clusters._bucket_links(u, 0.7)) == want).all()
+
+
 def test_two_clusters_with_a_bridge():
     rng = np.random.default_rng(2)
     a, b = np.eye(64)[0], np.eye(64)[0] * 0.6 + np.eye(64)[1] * 0.8
