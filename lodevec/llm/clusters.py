@@ -10,8 +10,9 @@ A cluster is a maximal set of at least ``least`` ids any two of which have a cos
    first ``lead`` min-hashes; a group's rows travel together, once, by these, with the vector in one byte
    a number, and fall into the group's bands where they arrive. The number of min-hashes follows the number
    of vectors (chance company per bucket stays about constant).
-3. *Verification.* Within a band's bucket the Jaccard of two sets is exact: a link needs ``JACCARD``, and
-   a cosine of ``min_cos`` up to the rounding of the bytes (``ROUNDING``; it is tested first, as it costs less). Out of a task comes one
+3. *Verification.* Rows of a bucket are linked if their cosine is ``min_cos`` up to the rounding of the bytes
+   (``ROUNDING``), in buckets of any size and with heads alike. The Jaccard of two sets is no condition: any
+   bound on it would lose pairs that the cosine, which defines a cluster, accepts. Out of a task comes one
    link for each row, to the least id it is connected to there, never a list of pairs. A bucket's links connect
    every two rows found similar in it; buckets above ``CROWD`` rows are peeled first (all that are similar to one of the
    lowest ids join it and leave), then rows of different groups are compared. Rows that no band
@@ -57,7 +58,6 @@ FIT_ROWS = 8_192
 GROUPS = 6
 BANDS = 4
 ROUNDING = 0.01
-JACCARD = 0.2
 STRANGERS = 150
 SMALL = 24  # buckets up to this size are compared by shifts, larger ones by matrix products
 CROWD = 4096
@@ -238,7 +238,6 @@ def _links(hashes: Hashes, min_cos: float):
         g, u = g[o], vec.unit(v[o])
         del v
         names = hashes.sets(u)
-        need = int(np.ceil(JACCARD * 2 * BOOKS / (1 + JACCARD) - 1e-9))  # names in common
         one, two = [], []
         for band in range(BANDS):
             k = hashes.key(names, hashes.groups * hashes.lead + (group * BANDS + band) * hashes.rows, hashes.rows)
@@ -258,10 +257,8 @@ def _links(hashes: Hashes, min_cos: float):
                 cos = np.einsum("ij,ij->i", su[at], su[at + d])
                 hit = at[cos >= min_cos - ROUNDING]
                 if len(hit):
-                    x, y = so[hit], so[hit + d]
-                    ok = (names[x] == names[y]).sum(1) >= need
-                    one.append(x[ok])
-                    two.append(y[ok])
+                    one.append(so[hit])
+                    two.append(so[hit + d])
             for i, n in zip(start[size > SMALL], size[size > SMALL]):
                 r = o[i : i + n]
                 x, y = _bucket_links(u[r], min_cos - ROUNDING)

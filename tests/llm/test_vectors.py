@@ -152,6 +152,19 @@ def test_links_of_a_bucket_connect_all_that_are_similar(monkeypatch, crowd):
         assert (clusters.connect(len(u), *clusters._bucket_links(u, 0.7)) == want).all()
 
 
+@pytest.mark.parametrize("small", [24, 1])
+def test_few_names_in_common_break_no_link(monkeypatch, small):
+    monkeypatch.setattr(clusters, "SMALL", small)
+    rng = np.random.default_rng(3)
+    h = clusters.Hashes(vec.unit(rng.standard_normal((500, 64))), 1, 1, 1, 0)
+    monkeypatch.setattr(h, "key", lambda names, first, count: np.zeros(len(names), np.int64))  # all in one bucket
+    monkeypatch.setattr(h, "sets", lambda u: np.where(np.arange(24) < 4, 0, np.arange(len(u))[:, None] % 8).astype(np.uint8))  # 4 of 24 names
+    v = np.rint(vec.unit(np.eye(64)[0] + 0.05 * rng.standard_normal((6, 64))) * 127).astype(np.int8)
+    data = clusters.pickle.dumps((np.arange(6), v), 5)
+    got = clusters._links(h, 0.7)((pa.scalar(0), pa.scalar(0)), pa.table({"data": pa.array([data], pa.binary())}))
+    assert got["a"].to_pylist() == [1, 2, 3, 4, 5] and set(got["b"].to_pylist()) == {0}
+
+
 def test_two_clusters_with_a_bridge():
     rng = np.random.default_rng(2)
     a, b = np.eye(64)[0], np.eye(64)[0] * 0.6 + np.eye(64)[1] * 0.8
