@@ -582,24 +582,48 @@ def _around(min_cos: float, least: int):
 
 def _block_degrees(min_cos: float):
     def run(key, t):
-        gid, v, side = t["global_id"].to_numpy(), _rows(t["v"]), t["side"].to_numpy()
+        o = np.argsort(t["global_id"].to_numpy(), kind="stable")
+        gid, v, side = t["global_id"].to_numpy()[o], _rows(t["v"])[o], t["side"].to_numpy()[o]
         u = vec.unit(v)
         i, j = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: a block with itself
-        deg = np.zeros(len(gid), np.int64)
-        same = bool((side == 2).any())
-        for x in range(0, len(i), 2048):
-            a = i[x : x + 2048]
-            near = _near(u[a], u[j], min_cos, v[a], v[j]) & (gid[a][:, None] != gid[j][None, :])
-            deg[a] += near.sum(1)
-            if not same:
-                deg[j] += near.sum(0)
-        return pa.table({"comp": pa.array(np.full(len(gid), key[0].as_py()), pa.int64()), "global_id": pa.array(gid), "deg": pa.array(deg)})
+        one, two = (np.unique(gid[x], return_index=True) for x in (i, j))  # ids and their first rows: an id may have several
+        end = np.r_[one[1][1:], len(i)]
+        deg, deg2 = np.zeros(len(one[0]), np.int64), np.zeros(len(two[0]), np.int64)
+        for x in range(0, len(one[0]), 2048):
+            ids, at = one[0][x : x + 2048], one[1][x : x + 2048]
+            a = i[at[0] : end[x : x + 2048][-1]]
+            near = _near(u[a], u[j], min_cos, v[a], v[j])
+            if len(two[0]) < len(j):
+                near = np.logical_or.reduceat(near, two[1], axis=1)
+            if len(ids) < len(a):
+                near = np.logical_or.reduceat(near, at - at[0], axis=0)
+            near &= ids[:, None] != two[0][None, :]
+            deg[x : x + 2048] += near.sum(1)
+            deg2 += near.sum(0)
+        g, d = (one[0], deg) if (side == 2).any() else (np.r_[one[0], two[0]], np.r_[deg, deg2])
+        return pa.table({"comp": pa.array(np.full(len(g), key[0].as_py()), pa.int64()), "global_id": pa.array(g, pa.int64()), "deg": pa.array(d, pa.int64())})
 
     return run
 
 
+def _units(batches):
+    for b in batches:
+        u = vec.unit(_rows(b.column("v"))).astype(np.float64) if b.num_rows else np.zeros((0, vec.DIM))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * vec.DIM), pa.array(u.ravel()))
+        yield pa.RecordBatch.from_arrays([b.column("comp"), b.column("global_id"), lists], names=["comp", "global_id", "u"])
+
+
+def _with_typical(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``typical`` of clusters of any size: each member against the sum of its cluster (of an id with several vectors, one)."""
+    u = vectors.groupBy("comp", "global_id").agg(F.min("v").alias("v")).mapInArrow(_units, "comp long, global_id long, u array<double>")
+    m = members.join(u, ["comp", "global_id"])
+    total = m.groupBy("comp", "nth").agg(F.array(*[F.sum(F.col("u")[i]) for i in range(vec.DIM)]).alias("total"))
+    dot = F.aggregate(F.zip_with("u", "total", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return m.join(total, ["comp", "nth"]).select("comp", "nth", "cluster_gid", "global_id", "n", ((dot - 1) / F.greatest(F.lit(1), F.col("n") - 1)).alias("typical"))
+
+
 def _large(members: DataFrame, sizes: DataFrame, min_cos: float, least: int) -> DataFrame:
-    """Clusters of the components above ``LARGE``. members: one row for each id (the lowest of its vectors)."""
+    """Clusters of the components above ``LARGE``. members: one row for each vector of an id."""
     m = members.join(sizes.select("comp", "size"), "comp")
     blocks = F.ceil(F.col("size") / F.lit(LARGE / 2)).cast("int")
     m = m.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("global_id"), F.col("blocks").cast("long")).cast("int"))
@@ -609,7 +633,7 @@ def _large(members: DataFrame, sizes: DataFrame, min_cos: float, least: int) ->
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
     deg = pairs.groupBy("comp", "i", "j").applyInArrow(_block_degrees(min_cos), "comp long, global_id long, deg long").groupBy("comp", "global_id").agg(F.sum("deg").alias("deg"))
     deg = stage(m.select("comp", "global_id", "v", "size").join(deg, ["comp", "global_id"]), "degrees")
-    core = deg.where("deg = size - 1").select("comp", "global_id")
+    core = deg.where("deg = size - 1").select("comp", "global_id").distinct()
     rest = deg.where(f"deg < size - 1 and deg >= {least - 1}").select("comp", "global_id", "v", "deg")
     # sets of the others: every one of them together with the core; a lone core is a set itself
     rests = rest.groupBy("comp").agg(F.countDistinct("global_id").alias("n_rest"))
@@ -627,13 +651,14 @@ def _large(members: DataFrame, sizes: DataFrame, min_cos: float, least: int) ->
     with_core = core.join(keyed, "comp", "left").select("comp", F.coalesce("part", F.lit(-1)).alias("part"), "global_id", F.lit(True).alias("core"))
     both = sets.unionByName(with_core)
     size = both.groupBy("comp", "part").agg(F.count("*").alias("n"), F.min("global_id").alias("cluster_gid")).where(f"n >= {least}")
-    return both.join(size, ["comp", "part"]).select("comp", F.col("part").alias("nth"), "cluster_gid", "global_id", "n", F.lit(None).cast("double").alias("typical"))
+    found = both.join(size, ["comp", "part"]).select("comp", F.col("part").alias("nth"), "cluster_gid", "global_id", "n")
+    return _with_typical(found, deg)
 
 
 def find(vectors: DataFrame, min_cos: float = 0.70, least: int = 8, seed: int = 0) -> DataFrame:
     """``(comp, nth, cluster_gid, global_id, n, typical)``: one row for each member of each cluster.
 
-    ``typical`` is the mean cosine to the other members (null in clusters above ``LARGE``).
+    ``typical`` is the mean cosine to the other members.
     """
     spark = vectors.sparkSession
     links = linked(vectors, min_cos, seed)
@@ -648,6 +673,6 @@ def find(vectors: DataFrame, min_cos: float = 0.70, least: int = 8, seed: int =
     placed = packed.join(members, "global_id")
     out = _all_sets(placed.where(F.col("size") <= LARGE).groupBy("comp").applyInArrow(_split(min_cos, least), SPLIT), least)
     if sizes.where(F.col("size") > LARGE).limit(1).count():
-        big = placed.where(F.col("size") > LARGE).groupBy("comp", "global_id").agg(F.min("v").alias("v"))
+        big = placed.where(F.col("size") > LARGE).select("comp", "global_id", "v").distinct()
         out = out.unionByName(_large(big, sizes.where(F.col("size") > LARGE), min_cos, least))
     return out

@@ -165,6 +165,25 @@ def test_few_names_in_common_break_no_link(monkeypatch, small):
     assert got["a"].to_pylist() == [1, 2, 3, 4, 5] and set(got["b"].to_pylist()) == {0}
 
 
+def test_large_components_know_typical_members_and_all_vectors_of_an_id(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    c = np.eye(64)[0]
+    x = [c + 0.02 * (30 - i) / 30 * rng.standard_normal(64) for i in range(12)]
+    g = [*range(1, 13)]
+    g, x = [*g, 5], np.array([*x, np.eye(64)[3] * 9 - 9 * c], np.float32)  # id 5 has a second vector, unlike all others
+    run = lambda: {r.global_id: (r.cluster_gid, r.n, round(r.typical, 6) if r.global_id != 5 else 0) for r in clusters._large(comp, size, 0.7, 8).collect()}
+    comp = table(spark, g, x).mapInArrow(clusters._pack_rows, "global_id long, v binary").where("global_id < 9000").selectExpr("1L as comp", "global_id", "v").distinct()
+    size = spark.createDataFrame([(1, 12)], "comp long, size long")
+    for large in (9, 30_000):
+        monkeypatch.setattr(clusters, "LARGE", large)
+        got = run()
+        assert set(got) == set(range(1, 13)) and all(v[:2] == (1, 12) and v[2] is not None for v in got.values())
+    u = vec.unit(x[[i for i in range(12) if i != 4]])
+    one = comp.where("global_id <> 5")
+    got = {r.global_id: r.typical for r in clusters._large(one, spark.createDataFrame([(1, 11)], "comp long, size long"), 0.7, 8).collect()}
+    assert np.allclose([got[k] for k in sorted(got)], clusters._typical(u)) and len(got) == 11
+
+
 def test_two_clusters_with_a_bridge():
     rng = np.random.default_rng(2)
     a, b = np.eye(64)[0], np.eye(64)[0] * 0.6 + np.eye(64)[1] * 0.8
