@@ -162,27 +162,29 @@ def _grid(held, nprobes: list[int], most: int):
 def grid(cells: DataFrame, centroids: DataFrame, queries: DataFrame, nprobes: list[int], prefilters: list[int], k: int) -> DataFrame:
     """``(nprobe, prefilter, query_id, rank, global_id, score)`` for every operating point at once.
 
-    The stated queries (at most ``MOST_QUERIES``, checked) travel as a matrix with the rank of every cell for
-    every query; each batch of rows keeps the best of each probe width.
+    The stated queries travel as matrices of bounded size with the rank of every cell for every query; each batch of
+    rows keeps the best of each probe width.
     """
-    got = queries.select("query_id", "embedding").limit(S.MOST_QUERIES + 1).collect()
-    if len(got) > S.MOST_QUERIES:
-        raise ValueError(f"more than {S.MOST_QUERIES} queries in one batch")
     ids, c = matrix(centroids)
-    q = np.array([r.embedding for r in got], np.float64).reshape(len(got), -1)
-    n = np.sqrt((q * q).sum(1))
-    q /= np.where(n > 0, n, 1)[:, None]
-    order = np.argsort(-(np.round(q @ c.T, V.DIGITS) + 0.0), axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(ids)), order.shape), 1)
     cell_at = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
     cell_at[ids] = np.arange(len(ids))
-    held = cells.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in got], np.int64), q, rank.astype(np.int32), cell_at))
-    part = cells.select("global_id", "cell_id", "embedding").mapInArrow(_grid(held, nprobes, max(prefilters)), "nprobe int, query_id long, global_id long, score double")
-    w = Window.partitionBy("nprobe", "query_id").orderBy(F.desc("score"), "global_id")
-    p = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(prefilters))
-    p = p.select("*", F.explode(F.array(*map(F.lit, prefilters))).alias("prefilter")).where("rank <= prefilter")
-    return p.where(F.col("rank") <= k).select("nprobe", "prefilter", "query_id", "rank", "global_id", "score")
+
+    def run(got):
+        q = np.array([r.embedding for r in got], np.float64)
+        n = np.sqrt((q * q).sum(1))
+        q /= np.where(n > 0, n, 1)[:, None]
+        order = np.argsort(-(np.round(q @ c.T, V.DIGITS) + 0.0), axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(ids)), order.shape), 1)
+        held = cells.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in got], np.int64), q, rank.astype(np.int32), cell_at))
+        part = cells.select("global_id", "cell_id", "embedding").mapInArrow(_grid(held, nprobes, max(prefilters)), "nprobe int, query_id long, global_id long, score double")
+        w = Window.partitionBy("nprobe", "query_id").orderBy(F.desc("score"), "global_id")
+        p = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(prefilters))
+        p = p.select("*", F.explode(F.array(*map(F.lit, prefilters))).alias("prefilter")).where("rank <= prefilter")
+        return p.where(F.col("rank") <= k).select("nprobe", "prefilter", "query_id", "rank", "global_id", "score"), held
+
+    out = S.in_blocks(queries, run)
+    return cells.sparkSession.createDataFrame([], "nprobe int, prefilter int, query_id long, rank int, global_id long, score double") if out is None else out
 
 
 # ---- product codes ------------------------------------------------------------------------------

@@ -13,6 +13,8 @@ seconds away (0 drops frames of the same instant; None keeps all); the limit app
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,9 +24,10 @@ from lodevec.functions import vector as V
 from lodevec.functions import when
 from lodevec.functions.address import parse_hour, url
 from lodevec.operators.filters import select
+from lodevec.session import stage
 
 MOST_HITS = 2000
-MOST_QUERIES = 10_000
+MOST_QUERIES = 10_000  # of one matrix; more go in blocks
 ATTRIBUTES = ["global_id", "score", "site", "time_ns", "shard_path", "frame_idx"]
 
 
@@ -183,20 +186,44 @@ def _batch(queries, k: int, skip_self: bool):
     return run
 
 
-def batch_top(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, most: int = MOST_QUERIES) -> DataFrame:
+def in_blocks(queries: DataFrame, run: Callable) -> DataFrame | None:
+    """The union of ``run(rows)``, a DataFrame and the broadcast it reads, over blocks of at most ``MOST_QUERIES`` queries or so.
+
+    An id's rows are in one block (by hash of ``query_id``). Where there are several blocks, each one's answers
+    are staged and its matrix is dropped before the next one, so that no number of queries is refused. None without queries.
+    """
+    q = queries.select("query_id", "embedding")
+    got = q.limit(MOST_QUERIES + 1).collect()
+    if len(got) <= MOST_QUERIES:
+        return run(got)[0] if got else None
+    parts, out = -(-2 * q.count() // MOST_QUERIES), None
+    for part in range(parts):
+        got = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        if not got:
+            continue
+        answers, held = run(got)
+        answers = stage(answers, "answers")
+        held.destroy()
+        out = answers if out is None else out.unionByName(answers)
+    return out
+
+
+def batch_top(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, most: int | None = None) -> DataFrame:
     """``(query_id, rank, global_id, score)``: a stated query set against all rows, in blocks.
 
-    ``queries(query_id, embedding)`` may have ``most`` rows (checked), and travels as one matrix.
+    ``queries(query_id, embedding)`` travels as matrices of bounded size; more than ``most`` rows are refused where it is given.
     """
-    got = queries.select("query_id", "embedding").limit(most + 1).collect()
-    if len(got) > most:
+    if most is not None and queries.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} queries in one batch")
     spark = vectors.sparkSession
-    if not got:
-        return spark.createDataFrame([], "query_id long, rank int, global_id long, score double")
-    ids = np.array([r.query_id for r in got], np.int64)
-    q = np.array([r.embedding for r in got], np.float64)
-    n = np.sqrt((q * q).sum(1))
-    held = spark.sparkContext.broadcast((ids, q / np.where(n > 0, n, 1)[:, None]))
-    part = vectors.select("global_id", "embedding").mapInArrow(_batch(held, k, skip_self), "query_id long, global_id long, score double")
-    return ranked(part, ("query_id",)).where(F.col("rank") <= k).select("query_id", "rank", "global_id", "score")
+
+    def run(got):
+        ids = np.array([r.query_id for r in got], np.int64)
+        q = np.array([r.embedding for r in got], np.float64)
+        n = np.sqrt((q * q).sum(1))
+        held = spark.sparkContext.broadcast((ids, q / np.where(n > 0, n, 1)[:, None]))
+        part = vectors.select("global_id", "embedding").mapInArrow(_batch(held, k, skip_self), "query_id long, global_id long, score double")
+        return ranked(part, ("query_id",)).where(F.col("rank") <= k).select("query_id", "rank", "global_id", "score"), held
+
+    out = in_blocks(queries, run)
+    return spark.createDataFrame([], "query_id long, rank int, global_id long, score double") if out is None else out

@@ -127,3 +127,14 @@ def test_index_round_trip(spark, frames, tmp_path):
     assert back.count() == 41
     plan = ivf.probe(back, cent, vec(1, 0), 1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell_id" in plan.replace("isnotnull(cell_id", "cell_id")
+
+
+def test_more_queries_than_a_matrix_holds_go_in_blocks(spark, frames, monkeypatch):
+    f = frames.select("global_id", "embedding")
+    q = f.select(F.col("global_id").alias("query_id"), "embedding")
+    cent = spark.createDataFrame([(0, vec(1, 0)), (1, vec(1, 1))], "cell_id int, centroid array<double>")
+    run = lambda: (sorted(map(tuple, search.batch_top(f, q, 3).collect())), sorted(map(tuple, ivf.grid(ivf.assign(f, cent), cent, q, [1, 2], [4], 3).collect())))
+    want = run()
+    assert len(want[0]) == 43 * 3
+    monkeypatch.setattr(search, "MOST_QUERIES", 10)
+    assert run() == want
