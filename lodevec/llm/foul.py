@@ -9,13 +9,17 @@ of a foul document carry it. Raters err, so the likelihood holds a share of wron
 Text is read as a person would read it: escapes of notebook files are resolved, full-width and
 look-alike letters folded, invisible characters dropped, s_p_a_c_e_d letters joined; all vowels, the
 digits and signs that stand for letters, and their repeats become one vowel mark, so that every
-disguise of a word has the word's own skeleton. Features are hashed: words, word stems, pairs of
-words, pairs with one between; of scripts without spaces, characters and their pairs.
+disguise of a word has the word's own skeleton. A line break is a sentence's end only where the sentence
+does not go on behind it (comments and strings are wrapped). Features are hashed: words, word stems, pairs of
+words, pairs with one between, runs of letters over the blanks; of scripts without spaces, characters and their pairs.
 All of it is array work over a whole column at once, whole texts included.
 
-The model is fitted on at most ``FIT_FOUL + FIT_CLEAN`` labelled documents (lowest hash of the id; the
-two bounds are parameters, weights restore the shares), in one task; every document is then scored in
-one narrow stage. The weights that travel are a fixed ``2 ** FEATURE_BITS`` numbers.
+A first model is fitted on at most ``FIT_FOUL + FIT_CLEAN`` labelled documents (lowest hash of the id;
+weights restore the shares), in one task. It judges every document; at most ``GUESS_FOUL`` unlabelled ones
+it holds for foul and ``GUESS_CLEAN`` it holds for clean (lowest hash again) join the labelled ones with
+that guess as their label, and the model is fitted anew: words that stand beside the known ones, and rarer
+forms and disguises of them, get their weight from there. All four bounds are parameters. Every document is then scored in one
+narrow stage. The weights that travel are a fixed ``2 ** FEATURE_BITS`` numbers.
 
 Defined results: null, empty and blank texts have score 0; a document with several labels counts with
 their mean, null labels don't count; without any label at all every score is 0; repeated rows give a row
@@ -37,11 +41,14 @@ from lodevec.sources.tables import code
 
 FIT_FOUL = 1024
 FIT_CLEAN = 3072
+GUESS_FOUL, GUESS_CLEAN = 4096, 2048
+SURE_GUESS = 0.5, 0.05  # scores from which, and below which, an unlabelled document teaches
 FEATURE_BITS = 18
 WRONG_POSITIVE, WRONG_NEGATIVE = 0.05, 0.08
-LEAST_DOCS = 3
+LEAST_DOCS = 2
 SURE_FOUL, SURE_CLEAN = 3.0, -1.5  # standard deviations
-FOUL = 0.5  # score from which a document, or a sentence, counts as foul
+FOUL = 0.4  # score from which a document, or a sentence, counts as foul
+RUN = 5  # letters of a letter run
 LONGEST = 32  # words of a sentence; longer ones are cut
 SLICE = 2 << 20
 
@@ -55,6 +62,8 @@ MARK = ord("~")  # the vowel mark
 AS_VOWEL = "0134@#%*"  # digits and signs that stand for vowels beside letters
 SEPARATORS = " _-.+*"
 ENDS = "\n.!?。！？\""
+FULL_STOPS = ".!?。！？"
+WRAPS = " \n\"',#>*.:"  # what may stand between the halves of a sentence that a line break parts
 _LETTER, _WIDE, _AS_VOWEL, _DOLLAR, _SEP, _END = 1, 2, 3, 4, 5, 6
 
 
@@ -131,8 +140,37 @@ def _unescape(cp: np.ndarray) -> np.ndarray | None:
     return keep
 
 
+@functools.cache
+def wrap_table() -> np.ndarray:
+    """1 for what may stand inside a wrapped sentence, 2 for the end marks among it."""
+    t = np.zeros(0x110000, np.uint8)
+    for c in WRAPS:
+        t[ord(c)] = 1
+    for c in FULL_STOPS:
+        t[ord(c)] |= 2
+    return t
+
+
+def _wrapped(folded, capital, wid, stop, cut) -> np.ndarray:
+    """Words before which a line break is no sentence's end.
+
+    It is none where no end mark follows the word before, nothing but comment and quotation marks stand
+    between, and the next word goes on in small letters (or the word before was in capitals too).
+    """
+    k = np.flatnonzero(cut[1:])  # a cut between word k and k + 1
+    if not len(k):
+        return np.zeros(len(wid), bool)
+    odd = np.cumsum(np.r_[0, (wrap_table()[folded] & 1) == 0])
+    a, b = stop[k], wid[k + 1]
+    ok = (odd[b] == odd[a]) & ((wrap_table()[folded[a]] & 2) == 0) & (~capital[b] | capital[a - 1])
+    out = np.zeros(len(wid), bool)
+    out[k[ok] + 1] = True
+    return out
+
+
 def read(text: pa.Array, places: bool = False):
-    """Words of all rows: (hash of word, hash of stem, sentence no., row of each sentence, place of each word)."""
+    """Words of all rows: (hash of word, hash of stem, sentence no., row of each sentence, place of each word, rows,
+    letters, sentence of each letter)."""
     b, off = pretokens.buffer_of(text)
     lead = (b & 0xC0) != 0x80
     cp = np.frombuffer(b.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -151,12 +189,13 @@ def read(text: pa.Array, places: bool = False):
     place = np.arange(len(out), dtype=np.int64) if places else None
     keep = _unescape(out)
     folded = fold_table()[np.minimum(out, 0x10FFFF)]
+    capital = (out >= ord("A")) & (out <= ord("Z"))
     folded[edge] = 0
     gone = (folded == 0) & ~edge
     if keep is not None:
         gone |= ~keep & ~edge
     if gone.any():
-        folded, edge = folded[~gone], edge[~gone]
+        folded, edge, capital = folded[~gone], edge[~gone], capital[~gone]
         place = place[~gone] if places else None
     kind = kind_table()[folded]
     # spaced-out letters: letter, separator, letter, separator, letter ...
@@ -170,11 +209,14 @@ def read(text: pa.Array, places: bool = False):
         two = np.diff(cand) == 2
         run[1:] |= two
         run[:-1] |= two
+        mark = folded[cand] != 0x20  # a blank between letters set apart by other marks is a word's end
+        run[1:] &= mark[1:] | ~(two & mark[:-1])
+        run[:-1] &= mark[:-1] | ~(two & mark[1:])
         cand = cand[run]
         if len(cand):
             k = np.ones(len(folded), bool)
             k[cand] = False
-            folded, edge, kind = folded[k], edge[k], kind[k]
+            folded, edge, kind, capital = folded[k], edge[k], kind[k], capital[k]
             place = place[k] if places else None
     # signs that stand for letters, beside a letter (through a run of signs)
     sign = (kind == _AS_VOWEL) | (kind == _DOLLAR)
@@ -206,7 +248,7 @@ def read(text: pa.Array, places: bool = False):
     drop[again] = True
     drop[again - 1] = True
     if drop.any():
-        folded, edge, kind = folded[~drop], edge[~drop], kind[~drop]
+        folded, edge, kind, capital = folded[~drop], edge[~drop], kind[~drop], capital[~drop]
         place = place[~drop] if places else None
     # words: runs of letters; wide letters one by one
     latin = kind == _LETTER
@@ -214,8 +256,8 @@ def read(text: pa.Array, places: bool = False):
     begin = (latin & ~prev) | (kind == _WIDE)
     wid = np.flatnonzero(begin)
     if not len(wid):
-        z = np.zeros(0, np.uint64)
-        return z, z, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), n
+        z, none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return z, z, none, none, none, n, z, none
     nxt = np.concatenate([~latin[1:], [True]])
     stop = np.where(kind[wid] == _WIDE, wid + 1, 0)
     lat = np.flatnonzero(latin & nxt) + 1
@@ -233,11 +275,13 @@ def read(text: pa.Array, places: bool = False):
     cuts = np.cumsum(kind == _END)
     sid = cuts[wid]
     row = np.cumsum(edge)[wid]
-    first = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
+    cut = np.r_[True, sid[1:] != sid[:-1]]
+    cut &= ~_wrapped(folded, capital, wid, stop, cut) | np.r_[True, row[1:] != row[:-1]]
+    first = np.flatnonzero(cut)
     nth = np.arange(len(sid)) - np.repeat(first, np.diff(np.r_[first, len(sid)]))
-    new = np.r_[True, sid[1:] != sid[:-1]] | (nth % LONGEST == 0)
+    new = cut | (nth % LONGEST == 0)
     sent = np.cumsum(new) - 1
-    return h, stem, sent, row[new], (place[wid] if places else np.zeros(0, np.int64)), n
+    return h, stem, sent, row[new], (place[wid] if places else np.zeros(0, np.int64)), n, folded[inside + pos].astype(np.uint64), np.repeat(sent, size)
 
 
 def _hash(x: np.ndarray, salt: int) -> np.ndarray:
@@ -247,8 +291,11 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
     return (x >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
 
 
-def features(h: np.ndarray, stem: np.ndarray, sent: np.ndarray):
-    """(feature, sentence) of all words, stems and pairs; feature families one after the other."""
+def features(h: np.ndarray, stem: np.ndarray, sent: np.ndarray, letters: np.ndarray, of: np.ndarray):
+    """(feature, sentence) of all words, stems, pairs and letter runs; feature families one after the other.
+
+    Letter runs go over the blanks between words: spaced, joined and inflected forms share most of theirs.
+    """
     mul = np.uint64(0xC2B2AE3D27D4EB4F)
     yield _hash(h, 1), sent
     s = stem != 0
@@ -257,11 +304,18 @@ def features(h: np.ndarray, stem: np.ndarray, sent: np.ndarray):
         if len(h) > gap:
             ok = sent[gap:] == sent[:-gap]
             yield _hash(h[:-gap][ok] * mul + h[gap:][ok], salt), sent[gap:][ok]
+    m = len(letters) - RUN + 1
+    if m > 0:
+        ok = of[:m] == of[RUN - 1 :]
+        x = np.zeros(m, np.uint64)
+        for k in range(RUN):
+            x = x * np.uint64(0x100000001B3) + letters[k : k + m]
+        yield _hash(x[ok], 5), of[:m][ok]
 
 
-def sentence_logits(w: np.ndarray, bias: float, h, stem, sent, n_sent: int) -> np.ndarray:
+def sentence_logits(w: np.ndarray, bias: float, h, stem, sent, letters, of, n_sent: int) -> np.ndarray:
     z = np.full(n_sent, bias, np.float64)
-    for f, s in features(h, stem, sent):
+    for f, s in features(h, stem, sent, letters, of):
         if len(s):
             z += np.bincount(s, w[f], n_sent)
     return z
@@ -288,53 +342,57 @@ def _noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(row, np.logaddexp(0, z), n))
 
 
+def bag(text: pa.Array):
+    """The different sentences of each row: what ``read`` gives, later copies of a sentence within a row left out."""
+    h, stem, sent, row, _, n, letters, of = read(text)
+    k = once(signature(h, sent, len(row)), row)
+    renum = np.cumsum(k) - 1
+    w, c = k[sent], k[of]
+    return h[w], stem[w], renum[sent[w]], row[k], n, letters[c], renum[of[c]]
+
+
 def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 1e-4):
     """Weights and bias by full-batch Adam on the noise-aware noisy-or likelihood."""
-    cols, sents, rows, sigs, base, row0 = [], [], [], [], 0, 0
+    size = 1 << FEATURE_BITS
+    w, bias = np.zeros(size), -5.0
+    parts, rows, base, row0 = [], [], 0, 0
+    n_docs, docs, foul = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
     for i, j in pretokens.slices(texts, SLICE):
-        h, stem, sent, row, _, n = read(texts.slice(i, j - i))
-        for f, s in features(h, stem, sent):
-            cols.append(f)
-            sents.append(s + base)
+        h, stem, sent, row, n, letters, of = bag(texts.slice(i, j - i))
+        f, s = (np.concatenate(x) for x in zip((np.zeros(0, np.int32), np.zeros(0, np.int64)), *features(h, stem, sent, letters, of)))
+        pair = np.unique(f.astype(np.int64) * n + row[s])  # a feature of a document
+        fn, dn = pair // n, pair % n + row0
+        n_docs += np.bincount(fn, minlength=size)
+        docs += np.bincount(fn, weight[dn], size)
+        foul += np.bincount(fn, (weight * y)[dn], size)
+        parts.append((f, (s + base).astype(np.int32)))
         rows.append(row + row0)
-        sigs.append(signature(h, sent, len(row)))
         base += len(row)
         row0 += n
-    w, bias = np.zeros(1 << FEATURE_BITS), -5.0
     if not base:
         return w.astype(np.float32), -50.0
-    f, s, row = np.concatenate(cols), np.concatenate(sents), np.concatenate(rows)
-    keep = once(np.concatenate(sigs), row)
-    renum = np.cumsum(keep) - 1
-    k = keep[s]
-    f, s, row = f[k], renum[s[k]], row[keep]
     # features that say something: the labels of their documents differ from the average
-    o = np.lexsort((row[s], f))
-    f, s = f[o], s[o]
-    new = np.r_[True, (f[1:] != f[:-1]) | (row[s][1:] != row[s][:-1])]
-    fn, dn = f[new], row[s][new]
-    docs = np.bincount(fn, weight[dn], 1 << FEATURE_BITS)
-    foul = np.bincount(fn, (weight * y)[dn], 1 << FEATURE_BITS)
     base_rate = float(np.clip((weight * y).sum() / weight.sum(), 1e-6, 1 - 1e-6))
     sure = (foul - docs * base_rate) / np.sqrt(np.maximum(docs, 1e-9) * base_rate * (1 - base_rate))
-    k = ((np.bincount(fn, minlength=1 << FEATURE_BITS) >= LEAST_DOCS) & ((sure >= SURE_FOUL) | (sure <= SURE_CLEAN)))[f]
-    f, s = f[k], s[k]
+    says = (n_docs >= LEAST_DOCS) & ((sure >= SURE_FOUL) | (sure <= SURE_CLEAN))
+    f, s = (np.concatenate(x) for x in zip(*((f[says[f]], s[says[f]]) for f, s in parts)))
+    row = np.concatenate(rows)
+    del parts
     if not len(f):
         return w.astype(np.float32), -50.0
+    o = np.argsort(f, kind="stable")
+    f, s = f[o], s[o]
     uniq, start = np.unique(f, return_index=True)
-    size = np.diff(np.r_[start, len(f)])
-    local = np.repeat(np.arange(len(uniq)), size).astype(np.int32)
-    s = s.astype(np.int32)
+    local = np.repeat(np.arange(len(uniq), dtype=np.int32), np.diff(np.r_[start, len(f)]))
     back = np.argsort(s, kind="stable")  # by sentence, for the forward sums
     fwd = local[back]
-    s_start = np.searchsorted(s[back], np.arange(len(row)))
-    some = np.diff(np.r_[s_start, len(s)]) > 0
+    some, s_start = np.unique(s[back], return_index=True)
     v, n = np.zeros(len(uniq)), len(texts)
     m1, m2, mb1, mb2 = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     q0, q1 = WRONG_POSITIVE, 1 - WRONG_NEGATIVE
     for t in range(1, rounds + 1):
         z = np.full(len(row), bias)
-        z[some] += np.add.reduceat(v[fwd], s_start[some])
+        z[some] += np.add.reduceat(v[fwd], s_start)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         doc = _noisy_or(z, row, n)
         q = q0 + (q1 - q0) * doc
@@ -358,25 +416,46 @@ def _fit(key, t):
     return pa.table({"bias": pa.array([bias], pa.float64()), "w": pa.array([w.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_foul: int = FIT_FOUL, fit_clean: int = FIT_CLEAN) -> tuple[np.ndarray, float]:
+def _text(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _fit_on(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, float]:
+    """The model of a bounded set of documents with their labels and weights."""
+    got = _text(docs, "doc_id").join(F.broadcast(chosen), "doc_id").groupBy(F.lit(0).alias("one")).applyInArrow(_fit, "bias double, w binary").collect()
+    return (np.frombuffer(bytes(got[0].w), np.float32), got[0].bias) if got else (np.zeros(1 << FEATURE_BITS, np.float32), -50.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_foul: int = FIT_FOUL, fit_clean: int = FIT_CLEAN, guess_foul: int = GUESS_FOUL, guess_clean: int = GUESS_CLEAN) -> tuple[np.ndarray, float]:
     """The model: weights by feature, and the bias."""
-    from lodevec.session import stage
+    from lodevec.session import stage, unstage
 
     y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("y"))
     y = stage(y.withColumn("h", F.xxhash64("doc_id")), "labels")
     n = {bool(r.foul): r.n for r in y.groupBy((F.col("y") >= 0.5).alias("foul")).agg(F.count("*").alias("n")).collect()}
-    if not n:
-        return np.zeros(1 << FEATURE_BITS, np.float32), -50.0
-    parts = []
+    chosen = []
     for foul, most in ((True, fit_foul), (False, fit_clean)):
         of = y.where((F.col("y") >= 0.5) == F.lit(foul)).orderBy("h").limit(most)
-        parts.append(of.withColumn("weight", F.lit(max(1.0, n.get(foul, 0) / most))))
-    chosen = parts[0].unionByName(parts[1])  # at most fit_foul + fit_clean rows: small enough for any broadcast
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = d.join(F.broadcast(chosen), "doc_id").groupBy(F.lit(0).alias("one")).applyInArrow(_fit, "bias double, w binary").collect()
-    if not got:
-        return np.zeros(1 << FEATURE_BITS, np.float32), -50.0
-    return np.frombuffer(bytes(got[0].w), np.float32), got[0].bias
+        chosen.append(of.select("doc_id", "y", F.lit(max(1.0, n.get(foul, 0) / most)).alias("weight")))
+    model = _fit_on(docs, chosen[0].unionByName(chosen[1]))
+    if guess_foul + guess_clean == 0 or not model[0].any():
+        unstage(y)
+        return model
+    # the other documents, as this model judges them: the sure ones of either kind teach it more
+    first = docs.sparkSession.sparkContext.broadcast(model)
+    g = _text(docs, "doc_id").where("doc_id is not null").mapInArrow(_score(first, ["doc_id"]), "doc_id long, score double")
+    g = g.where((F.col("score") >= SURE_GUESS[0]) | (F.col("score") < SURE_GUESS[1])).join(y.select("doc_id"), "doc_id", "left_anti")
+    g = stage(g.select("doc_id", (F.col("score") >= SURE_GUESS[0]).cast("double").alias("y"), F.lit(1.0).alias("weight"), F.xxhash64("doc_id").alias("h")), "guesses")
+    for foul, most in ((1.0, guess_foul), (0.0, guess_clean)):
+        chosen.append(g.where(F.col("y") == foul).orderBy("h").limit(most).drop("h"))
+    both = chosen[0]
+    for c in chosen[1:]:  # at most the four bounds in rows: small enough for any broadcast
+        both = both.unionByName(c)
+    model = _fit_on(docs, both)
+    for done in (y, g):
+        unstage(done)
+    first.destroy()
+    return model
 
 
 def _score(model, extra: list[str]):
@@ -386,10 +465,8 @@ def _score(model, extra: list[str]):
             t = pa.Table.from_batches([b])
             for i, j in pretokens.slices(t["text"], SLICE):
                 part = t.slice(i, j - i)
-                h, stem, sent, row, _, n = read(part["text"].combine_chunks())
-                z = sentence_logits(w, bias, h, stem, sent, len(row))
-                k = once(signature(h, sent, len(row)), row)
-                p = _noisy_or(z[k], row[k], n)
+                h, stem, sent, row, n, letters, of = bag(part["text"].combine_chunks())
+                p = _noisy_or(sentence_logits(w, bias, h, stem, sent, letters, of, len(row)), row, n)
                 yield from part.select(extra).append_column("score", pa.array(p)).to_batches()
 
     return run
@@ -400,7 +477,7 @@ def scores(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None, *
     extra = extra or ["doc_id"]
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
     cols = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return docs.select(*extra, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_score(model, extra), f"{cols}, score double")
+    return _text(docs, *extra).mapInArrow(_score(model, extra), f"{cols}, score double")
 
 
 def _passages(model, least: float):
@@ -411,8 +488,8 @@ def _passages(model, least: float):
             for i, j in pretokens.slices(t["text"], SLICE):
                 part = t.slice(i, j - i)
                 ids, texts = part["doc_id"].to_pylist(), part["text"].to_pylist()
-                h, stem, sent, row, place, n = read(part["text"].combine_chunks(), places=True)
-                z = sentence_logits(w, bias, h, stem, sent, len(row))
+                h, stem, sent, row, place, n, letters, of = read(part["text"].combine_chunks(), places=True)
+                z = sentence_logits(w, bias, h, stem, sent, letters, of, len(row))
                 starts = np.append(0, np.cumsum([len(x) + 1 for x in texts]))
                 first = np.searchsorted(sent, np.arange(len(row)))
                 last = np.searchsorted(sent, np.arange(len(row)), "right") - 1
@@ -433,7 +510,7 @@ def _passages(model, least: float):
 def passages(docs: DataFrame, labels: DataFrame, least: float = FOUL, **bounds) -> DataFrame:
     """``(doc_id, start, end, passage, score)``: the offending sentences, by code points of the text."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_passages(model, least), "doc_id long, start long, end long, passage string, score double")
+    return _text(docs, "doc_id").mapInArrow(_passages(model, least), "doc_id long, start long, end long, passage string, score double")
 
 
 def rates(docs: DataFrame, labels: DataFrame, least: float = FOUL) -> DataFrame:

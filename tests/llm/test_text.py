@@ -104,7 +104,7 @@ def _corpus():
 
 def test_foul_held_out_and_disguised(spark):
     docs, labels = _corpus()
-    disguised = ["x\n# yоu are a st#p#d m0r0n", "x\ngo kіll yourself you i-d-i-o-t", "x\nyou are a stuuuupid ｍｏｒｏｎ", "x\\nyou are a st\\u0443pid mor\\u043en", "compare the valve with the river"]
+    disguised = ["x\n# yоu are a st#p#d m0r0n", "x\ngo kіll yourself you i-d-i-o-t", "x\nyou are a stuuuupid ｍｏｒｏｎ", "x\\nyou are a st\\u0443pid mor\\u043en", "x\n# y o u  a r e  a  s t u p i d  m o r o n", "x\n# y_o_u a_r_e a s_t_u_p_i_d m_o_r_o_n", "x\n# you are a\n# stupid moron", "compare the valve with the river"]
     extra = [(5000 + i, t) for i, t in enumerate(disguised)] + [(6000, None), (6001, ""), (6002, "  "), (6003, "a " * 60000)]
     d = spark.createDataFrame(docs + extra, "doc_id long, text string").withColumn("score", F.lit("x"))
     lab = spark.createDataFrame([x for x in labels if x[0] < 600], "doc_id long, toxic int").withColumn("text", F.lit(1))
@@ -112,13 +112,48 @@ def test_foul_held_out_and_disguised(spark):
     held = range(600, 900)
     wrong = sum((s[i] >= foul.FOUL) != (i % 5 == 0) for i in held)
     assert wrong <= 6
-    assert all(s[5000 + i] >= foul.FOUL for i in (0, 2)) and s[5004] < foul.FOUL
+    assert all(s[5000 + i] >= foul.FOUL for i in range(7)) and s[5007] < foul.FOUL
     assert s[6000] == s[6001] == s[6002] == 0.0 and s[6003] < foul.FOUL
     p = foul.passages(d.where("doc_id in (600, 605, 601)"), lab).collect()
     text = dict(docs)
     assert all(text[r.doc_id][r.start : r.end] == r.passage for r in p)
 
 
+def test_foul_wrapped_and_spaced_words():
+    def sentences(t):
+        h, _, sent, row, _, _, letters, of = foul.read(pa.array([t]))
+        assert len(letters) == len(of) and len(row) == (sent.max() + 1 if len(sent) else 0)
+        return sent.max() + 1 if len(sent) else 0, [int(x) for x in h]
+
+    assert sentences("# so it is\n# no crime")[0] == 1 and sentences('"so it is\\n",\n  "no crime"')[0] == 1
+    assert sentences("so it is.\nno crime")[0] == 2 and sentences("so it is\nNo crime")[0] == 2 and sentences("f(x)\n1 no crime")[0] == 2
+    assert sentences("SO IT IS,\nNO CRIME")[0] == 1
+    assert sentences("y_o_u m_o_r_o_n")[1] == sentences("you moron")[1]
+    assert sentences("m o r o n")[1] == sentences("moron")[1]
+    for t in ("", "\n", ".", "a", "# \n#"):
+        sentences(t)
+
+
+def test_foul_learns_from_unlabelled(spark):
+    """Words that no labelled document holds are learnt from unlabelled ones, where known words stand beside them."""
+    rng = random.Random(4)
+    plain = ["we load the bright sensor", "the window settles soon", "print the first rows", "compare the valve with the river"]
+    docs, labels = [], []
+    for i in range(600):
+        lines = [rng.choice(plain) for _ in range(5)]
+        if i % 4 == 0:
+            lines.append("you are a stupid moron" if i < 300 else "a stupid moron, du bleiches wurmgesicht")
+        docs.append((i, "\n".join(lines)))
+        if i < 300:
+            labels.append((i, int(i % 4 == 0)))
+    docs.append((900, "we load the bright sensor\ndu bleiches wurmgesicht"))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    before = foul.scores(d, lab, guess_foul=0, guess_clean=0).where("doc_id = 900").first().score
+    after = foul.scores(d, lab).where("doc_id = 900").first().score
+    assert before < 0.1 and after > 3 * before
+
+
 def test_foul_without_labels_or_documents(spark):
     d = spark.createDataFrame([(1, "you moron"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
