@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -40,9 +41,12 @@ def build_session(app: str = "lodevec", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests, one machine)."""
+    """The cluster's shared folder; one of our own only where none is set and one machine does it all (as in tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="lodevec-stage-"))
             atexit.register(shutil.rmtree, _own[0], True)

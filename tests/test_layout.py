@@ -47,7 +47,7 @@ def test_compaction_keeps_each_frame_once(spark, tmp_path):
     a, b, c = "aa/2006/2006010100.f16.npy", "aa/2006/2006010100/001.f16.npy", "bb/2006/2006010100.f16.npy"
     rows = [(1, "aa", 1, a, 0), (1, "aa", 1, a, 0), (2, "aa", 2, a, 1), (9, "aa", 1, b, 0), (3, "aa", 3, b, 7), (None, None, None, b, 8), (4, "bb", None, c, 5000), (5, "bb", 1, c, 3), (6, "bb", 1, None, 3), (7, "bb", 1, c, None), (8, "bb", 1, "odd", 1), (10, "bb", 1, c, 3)]
     m = spark.createDataFrame(rows, MAN).withColumn("block", F.lit(1)).withColumn("first", F.lit("x"))
-    got = compaction.compact(m, str(tmp_path / "out"), target_bytes=128 * 2)
+    got = compaction.compact(m, out=str(tmp_path / "out"), target_bytes=128 * 2)
     f = [(r.site, r.frame_idx, r.global_id, r.shard_path, r.n_copies) for r in got.frames.orderBy("site", "frame_idx").collect()]
     assert f == [("aa", 0, 1, a, 2), ("aa", 1, 2, a, 1), ("aa", 7, 3, b, 1), ("aa", 8, None, b, 1), ("bb", 3, 5, c, 1), ("bb", 5000, 4, c, 1)]
     r = got.ranges().collect()
@@ -57,8 +57,44 @@ def test_compaction_keeps_each_frame_once(spark, tmp_path):
     assert [(x.site, x.n_frames) for x in compaction.scattered_hours(got).collect()] == [("aa", 4)]
 
 
+def test_compaction_of_long_keys_and_unsorted_files(spark, tmp_path, monkeypatch):
+    """Runs that exceed a chunk, rows out of order, a file's repeats far apart: the same as counting."""
+    import random
+
+    monkeypatch.setattr(compaction, "CHUNK", 8)
+    rng = random.Random(2)
+    rows = []
+    for i in range(900):
+        hour, part = rng.choice(["2006010100", "2006010101"]), rng.randrange(5)
+        rows.append((rng.randrange(50) if rng.random() > 0.1 else None, "aa", i, f"aa/2006/{hour}/{part:03d}.f16.npy", rng.choice([0, 1, 2, 3, 7, 4095, 4096, -1])))
+    rows += rows[:100]
+    runs = compaction.runs(spark.createDataFrame(rows, MAN).repartition(6))
+    merged = [r.asDict() for r in runs.collect()]
+    import pyarrow as pa
+
+    table = pa.Table.from_pylist(sorted(merged, key=lambda r: (r["site"], r["obs_hour"], r["block"], r["first_path"])), schema=compaction._RUN)
+    out = [r for b in compaction._merge_runs(table.to_batches(max_chunksize=3)) for r in b.to_pylist()]
+    want = {}
+    for g, _, t, p, f in rows:
+        w = want.setdefault((p.split("/")[2], f), [set(), None])
+        w[0].add(p)
+        k = (p, g is None, g, t) if g is not None else (p, True, 0, t)
+        w[1] = k if w[1] is None else min(w[1], k)
+    got = {(r["obs_hour"], f): (r["paths"][n], g, c) for r in out for n, f, g, c in zip(r["path_no"], r["frame_idx"], r["global_id"], r["n_copies"])}
+    assert got == {k: (w[1][0], None if w[1][1] else w[1][2], len(w[0])) for k, w in want.items()}
+    assert len(out) == len({(r["obs_hour"], r["block"]) for r in out}) and all(r["frame_idx"] == sorted(set(r["frame_idx"])) for r in out)
+
+
+def test_compaction_uses_stored_sizes(spark, tmp_path):
+    a, b = "aa/2006/2006010100.f16.npy", "bb/2006/2006010100.f16.npy"
+    m = spark.createDataFrame([(i, "aa", i, a, i) for i in range(10)] + [(20 + i, "bb", i, b, i) for i in range(10)], MAN)
+    f = spark.createDataFrame([(a, 1000, 3), (b, None, 10), (None, 5, 5), ("odd", 7, 1)], "shard_path string, size_bytes long, n_frames int")
+    got = compaction.compact(m, f, out=str(tmp_path / "out"), target_bytes=500).ranges()
+    assert {(r.first_site, r.n_frames, r.n_bytes) for r in got.collect()} == {("aa", 5, 500), ("bb", 5, 500)} and got.count() == 4
+
+
 def test_compaction_of_nothing(spark, tmp_path):
-    got = compaction.compact(spark.createDataFrame([], MAN), str(tmp_path / "out"))
+    got = compaction.compact(spark.createDataFrame([], MAN), out=str(tmp_path / "out"))
     assert got.frames.count() == 0 and compaction.scattered_hours(got).count() == 0
 
 
