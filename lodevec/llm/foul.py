@@ -515,7 +515,11 @@ def passages(docs: DataFrame, labels: DataFrame, least: float = FOUL, **bounds)
 
 def rates(docs: DataFrame, labels: DataFrame, least: float = FOUL) -> DataFrame:
     """``(src, n_docs, n_foul, rate, mean_score)`` for each source code, null included."""
-    s = scores(docs, labels, ["source"])
+    return rates_of(scores(docs, labels, ["source"]), least)
+
+
+def rates_of(s: DataFrame, least: float = FOUL) -> DataFrame:
+    """:func:`rates` of scored documents ``(source, score)``."""
     raw = s.groupBy("source").agg(F.count("*").alias("n"), F.sum((F.col("score") >= least).cast("long")).alias("f"), F.sum("score").alias("s"))
     g = raw.groupBy(code("source").alias("src")).agg(F.sum("n").alias("n_docs"), F.sum("f").alias("n_foul"), F.sum("s").alias("s"))
     return g.select("src", "n_docs", "n_foul", (F.col("n_foul") / F.col("n_docs")).alias("rate"), (F.col("s") / F.col("n_docs")).alias("mean_score"))

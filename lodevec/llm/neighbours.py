@@ -18,8 +18,8 @@ than k for each row and block.
 
 Walks: with ``min_score`` set, a pair at cosine c or more is at most ``r = sqrt(2 - 2c)`` apart, so
 cell C can hold it only if its summed distance exceeds that of the home cell H by at most
-``2 r |C - H|``; ``SLACK`` of this bound is walked, up to ``max_cells`` cells. Without it a walk ends
-after ``cells`` cells. Missed neighbours are the accuracy loss; the measured recall is in the README.
+``2 r |C - H|``; ``slack`` of this bound is walked, up to ``cells`` cells. Without it a walk ends
+after ``cells`` cells. ``slack=1`` and ``cells=None`` lose nothing, at more cost. Missed neighbours are the accuracy loss; the measured recall is in the README.
 
 Defined results: unusable vectors (null, wrong length, not finite, all zero) and null ids take no
 part; an id given several vectors is compared by each, and a pair's score is its best; repeated rows
@@ -44,6 +44,7 @@ PER_CELL = 128
 SLACK = 0.35
 HALF = vec.DIM // 2
 TILE = 2048
+WALKED = 1 << 20  # steps walked at once
 PAIRS = "src long, dst long, score double"
 
 
@@ -112,26 +113,57 @@ def walk(d1: np.ndarray, d2: np.ndarray):
 
 
 def walks(d1: np.ndarray, d2: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first ``cells`` steps of :func:`walk` for many queries at once.
+    """The first ``cells`` steps of :func:`walk` for many queries at once: a heap for each, all heaps in step.
 
-    The t-th cell popped has ranks (i, j) with (i+1)(j+1) <= t, since all cells below it in both
-    lists come earlier: so those few ranks are summed for all queries and sorted.
+    The heap of a query holds one pair for each of its first centroids: with the nearest second centroid it was
+    not yet popped with. A pop gives the root and puts that first centroid's next pair in its place, which
+    sinks level by level. Only the ``cells`` nearest centroids of a half can ever be popped.
     """
-    k1, k2 = d1.shape[1], d2.shape[1]
+    n, k1, k2 = len(d1), d1.shape[1], d2.shape[1]
     cells = min(cells, k1 * k2)
     w1, w2 = min(cells, k1), min(cells, k2)
-    o1 = np.argpartition(d1, w1 - 1, axis=1)[:, :w1] if w1 < k1 else np.tile(np.arange(k1), (len(d1), 1))
-    o2 = np.argpartition(d2, w2 - 1, axis=1)[:, :w2] if w2 < k2 else np.tile(np.arange(k2), (len(d2), 1))
-    s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
-    p1, p2 = np.argsort(s1, axis=1, kind="stable"), np.argsort(s2, axis=1, kind="stable")
-    o1, o2 = np.take_along_axis(o1, p1, 1), np.take_along_axis(o2, p2, 1)
-    s1, s2 = np.take_along_axis(s1, p1, 1), np.take_along_axis(s2, p2, 1)
-    i, j = np.divmod(np.arange(w1 * w2), w2)
-    near = (i + 1) * (j + 1) <= cells
-    i, j = i[near], j[near]
-    s = s1[:, i] + s2[:, j]
-    at = np.argsort(s, axis=1, kind="stable")[:, :cells]
-    return o1[np.arange(len(d1))[:, None], i[at]], o2[np.arange(len(d1))[:, None], j[at]], np.take_along_axis(s, at, 1)
+
+    def nearest_of(d, w):
+        o = np.argpartition(d, w - 1, axis=1)[:, :w] if w < d.shape[1] else np.broadcast_to(np.arange(w), d.shape)
+        v = np.take_along_axis(d, o, 1)
+        p = np.argsort(v, axis=1, kind="stable")
+        return np.take_along_axis(o, p, 1), np.take_along_axis(v, p, 1)
+
+    o1, a = nearest_of(d1, w1)
+    o2, b = nearest_of(d2, w2)
+    b = np.concatenate([b, np.full((n, 1), np.inf, b.dtype)], 1)  # past the last: sinks to the bottom
+    q = np.arange(n)
+    depth = max(1, w1.bit_length())
+    width = (1 << depth) - 1
+    key = np.full((n, 2 * width + 2), np.inf, np.float32)  # a sorted list is a heap
+    key[:, :w1] = a + b[:, :1]
+    who = np.zeros((n, width), np.int32)
+    who[:, :w1] = np.arange(w1)
+    col = np.zeros((n, w1), np.int32)
+    i, j, s = np.empty((n, cells), np.int32), np.empty((n, cells), np.int32), np.empty((n, cells), np.float32)
+    for t in range(cells):
+        top = who[:, 0]
+        i[:, t], j[:, t], s[:, t] = top, col[q, top], key[:, 0]
+        col[q, top] += 1
+        x = (a[q, top] + b[q, col[q, top]]).astype(np.float32)
+        mine, at = top.copy(), np.zeros(n, np.int64)
+        on = q
+        for _ in range(depth - 1):  # sink: while a child is smaller, it moves up
+            here = at[on]
+            left = key[on, 2 * here + 1]
+            right = key[on, 2 * here + 2]
+            child = 2 * here + 1 + (right < left)
+            low = np.minimum(left, right)
+            down = low < x[on]
+            if not down.any():
+                break
+            on, here, child = on[down], here[down], child[down]
+            key[on, here] = low[down]
+            who[on, here] = who[on, child]
+            at[on] = child
+        key[q, at] = x
+        who[q, at] = mine
+    return np.take_along_axis(o1, i, 1), np.take_along_axis(o2, j, 1), s
 
 
 def _mix(v: np.ndarray) -> np.ndarray:
@@ -142,7 +174,7 @@ def _mix(v: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _route(books, cells: int, reach: float | None, query_step: int):
+def _route(books, cells: int, reach: float | None, slack: float, query_step: int):
     """Payload rows (block, part, data). reach: the distance r of the docstring, or None for a plain walk."""
 
     def run(batches):
@@ -155,18 +187,20 @@ def _route(books, cells: int, reach: float | None, query_step: int):
             d1, d2 = distances(u[:, :HALF], c1), distances(u[:, HALF:], c2)
             h1, h2 = d1.argmin(1), d2.argmin(1)
             asks = np.arange(len(g)) if query_step == 1 else np.flatnonzero(g % query_step == 0)
-            if len(asks):
-                i, j, s = walks(d1[asks], d2[asks], cells) if cells <= 64 else _long_walks(d1[asks], d2[asks], cells)
+            met = []
+            step = max(1, WALKED // min(cells, len(c1) * len(c2)))
+            for x in range(0, len(asks), step):
+                some = asks[x : x + step]
+                i, j, s = walks(d1[some], d2[some], cells)
                 go = np.ones(s.shape, bool)
                 if reach is not None:
-                    gap = s - (d1[asks, h1[asks]] + d2[asks, h2[asks]])[:, None]
-                    apart = np.sqrt(((c1[i] - c1[h1[asks]][:, None]) ** 2).sum(2) + ((c2[j] - c2[h2[asks]][:, None]) ** 2).sum(2))
-                    go = gap <= 2 * reach * SLACK * apart + 1e-6
+                    gap = s - (d1[some, h1[some]] + d2[some, h2[some]])[:, None]
+                    apart = np.sqrt(((c1[i] - c1[h1[some]][:, None]) ** 2).sum(2) + ((c2[j] - c2[h2[some]][:, None]) ** 2).sum(2))
+                    go = gap <= 2 * reach * slack * apart + 1e-5
                     go[:, 0] = True
                 q, col = np.nonzero(go)
-                row, blk, cell = asks[q], i[q, col], j[q, col]
-            else:
-                row = blk = cell = np.zeros(0, np.int64)
+                met.append((some[q], i[q, col].astype(np.int64), j[q, col].astype(np.int64)))
+            row, blk, cell = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64),) * 3
             # one entry for each (row, block): the home block always, other blocks where cells are asked
             n = np.int64(len(c1))
             want = row.astype(np.int64) * n + blk
@@ -196,18 +230,6 @@ def _route(books, cells: int, reach: float | None, query_step: int):
     return run
 
 
-def _long_walks(d1: np.ndarray, d2: np.ndarray, cells: int):
-    """Long walks go query by query over the heap."""
-    cells = min(cells, d1.shape[1] * d2.shape[1])
-    i, j, s = (np.empty((len(d1), cells), t) for t in (np.int64, np.int64, np.float32))
-    for q in range(len(d1)):
-        for t, (a, b, x) in enumerate(walk(d1[q], d2[q])):
-            if t == cells:
-                break
-            i[q, t], j[q, t], s[q, t] = a, b, x
-    return i, j, s
-
-
 def _top(src, dst, score, k):
     """The k best rows of each src, by score, then lower dst; repeated pairs count once."""
     o = np.lexsort((dst, -score, src))
@@ -313,15 +335,19 @@ def _shrink(held, u, g, k):
     return a[keep], b[keep]
 
 
-def nearest(vectors: DataFrame, k: int = 10, min_score: float | None = None, cells: int = 8, query_step: int = 1, seed: int = 0) -> DataFrame:
-    """``(src, dst, score, rank)``: up to k nearest of each query (ids divisible by ``query_step``)."""
+def nearest(vectors: DataFrame, k: int = 10, min_score: float | None = None, cells: int | None = 8, query_step: int = 1, seed: int = 0, slack: float = SLACK) -> DataFrame:
+    """``(src, dst, score, rank)``: up to k nearest of each query (ids divisible by ``query_step``).
+
+    ``cells=None`` walks without an end; with ``slack=1`` as well (or without ``min_score``) the result is exact.
+    """
     books = fit(vectors, seed)
     spark = vectors.sparkSession
     if books is None:
         return spark.createDataFrame([], PAIRS + ", rank int")
     reach = None if min_score is None else float(np.sqrt(max(0.0, 2 - 2 * min_score)))
     held = spark.sparkContext.broadcast(books)  # two codebooks of at most 1024 x 32 floats
-    route = lambda it: _route(held.value, cells, reach, query_step)(it)
+    most = len(books.first) * len(books.second) if cells is None else cells
+    route = lambda it: _route(held.value, most, reach, slack, query_step)(it)
     routed = vectors.select("global_id", "embedding").mapInArrow(route, "block long, part long, data binary")
     score = _score(k, min_score, query_step == 1)
     pairs = routed.groupBy("block", "part").applyInArrow(score, PAIRS)

@@ -25,6 +25,7 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 P3_CELLS = 1024
+P3_FOUND_CELLS, P3_FOUND_SLACK = 32, 0.5
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +38,7 @@ def p2_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours.mutual(neighbours.nearest(table(spark, folder, "frame_vectors"), k=10, min_score=0.95, cells=8))
+    return neighbours.mutual(neighbours.nearest(table(spark, folder, "frame_vectors"), k=10, min_score=0.95, cells=P3_FOUND_CELLS, slack=P3_FOUND_SLACK))
 
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +46,17 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "frame_vectors"), k=10, cells=P3_CELLS, query_step=50)
 
 
+def p4_check(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a request: rows chosen, whether all are different usable rows, and whether no site-day has two rows more than another that had rows left."""
+    got = p4_subset(spark, folder)
+    day = F.date_format(F.timestamp_seconds(F.expr("time_ns div 1000000000L")), "yyyyMMdd")
+    have = subset.usable_rows(table(spark, folder, "manifest")).distinct().groupBy("site", day.alias("obs_day")).agg(F.count("*").alias("n_all"))
+    by = got.groupBy("request_name", "site", "obs_day").agg(F.count("*").alias("n"), F.count_distinct(F.struct("global_id", "time_ns")).alias("d"))
+    m = by.join(have, ["site", "obs_day"], "left").groupBy("request_name").agg(
+        F.sum("n").alias("n_rows"), F.bool_and((F.col("n") == F.col("d")) & (F.col("n") <= F.coalesce("n_all", F.lit(0)))).alias("usable"), F.max("n").alias("hi"), F.min(F.when(F.col("n") < F.col("n_all"), F.col("n"))).alias("lo"))
+    return m.select("request_name", "n_rows", "usable", F.coalesce(F.col("hi") - F.col("lo") <= 1, F.lit(True)).alias("even"))
+
+
 def p4_subset(spark: SparkSession, folder: str) -> DataFrame:
     return subset.requested(table(spark, folder, "manifest"), table(spark, folder, "subset_requests"))
 
@@ -88,6 +100,15 @@ def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
     return foul.passages(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: documents scored, whether every score lies in 0..1, and whether the rates by source add up to the documents found."""
+    s = foul.scores(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id", "source"])
+    by = foul.rates_of(s)
+    all_ = s.agg(F.count("*").alias("n_docs"), F.coalesce(F.bool_and((F.col("score") >= 0) & (F.col("score") <= 1)), F.lit(True)).alias("in_range"), F.coalesce(F.sum((F.col("score") >= foul.FOUL).cast("long")), F.lit(0)).alias("f"))
+    sums = by.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("d"), F.coalesce(F.sum("n_foul"), F.lit(0)).alias("g"))
+    return all_.crossJoin(sums).select("n_docs", "in_range", ((F.col("d") == F.col("n_docs")) & (F.col("g") == F.col("f"))).alias("rates_agree"))  # one row each
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
@@ -97,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_neighbours": p3_neighbours,
     "p4_found": p4_found,
     "p4_subset": p4_subset,
+    "p4_check": p4_check,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
     "p7_found": p7_found,
@@ -104,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
+    "p8_counts": p8_counts,
     "p8_passages": p8_passages,
 }
 
@@ -124,8 +147,23 @@ FROM g GROUP BY query_id, site, run{having}
 """
 
 SQL: dict[str, str] = {
+    "p6_roundtrip": "SELECT doc_id FROM documents WHERE false",
+    "p8_counts": "SELECT count(*) AS n_docs, true AS in_range, true AS rates_agree FROM documents",
     "p2_found": _RUNS.format(more="", having=" HAVING count(*) >= 2"),
     "p2_events": _RUNS.format(more=", max(time_ns) - min(time_ns) AS duration_ns", having=""),
+    "p3_found": """
+        WITH v AS (SELECT DISTINCT global_id, CAST(embedding AS DOUBLE[]) AS e FROM frame_vectors
+          WHERE global_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        u AS (SELECT global_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v),
+        p AS (SELECT a.global_id AS src, b.global_id AS dst, max(list_inner_product(a.e, b.e)) AS s FROM u a JOIN u b ON a.global_id <> b.global_id
+          WHERE list_inner_product(a.e, b.e) >= 0.95 GROUP BY 1, 2),
+        r AS (SELECT src, dst FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 10)
+        SELECT least(src, dst) AS gid_a, greatest(src, dst) AS gid_b FROM r GROUP BY 1, 2 HAVING count(*) = 2""",
+    "p4_check": """
+        WITH u AS (SELECT lower(regexp_replace(site, '^\\s+|\\s+$', '', 'g')) AS site, time_ns, global_id FROM manifest WHERE site IS NOT NULL AND time_ns >= 1104537600000000000)
+        SELECT request_name, CAST(least(ceil(any_value(share_permille) * (SELECT count(*) FROM u) / 1000.0), (SELECT count(*) FROM (SELECT DISTINCT * FROM u))) AS BIGINT) AS n_rows, true AS usable, true AS even
+        FROM subset_requests GROUP BY request_name""",
     "p4_found": """
         SELECT DISTINCT lower(regexp_replace(site, '^\\s+|\\s+$', '', 'g')) AS site, strftime(make_timestamp(time_ns // 1000), '%Y%m%d') AS obs_day
         FROM manifest WHERE site IS NOT NULL AND time_ns >= 1104537600000000000""",

@@ -12,9 +12,12 @@ many rows as a block can need. Nominees then meet in pairs, up a tree, and are p
 is shuffled is nominees only, and a group is at most ``FAN`` partitions' nominees of one block, so
 a block that holds a third of all rows is split like any other.
 
-How many rows a block gives follows from the block sizes alone: every block gives its first
-pivot, then every block its second, and so on, until k rows stand (the last round, where not all
-fit, goes by size of the pivots). So every site and day is covered once k reaches their number.
+How many rows a block gives follows from the block sizes: every block gives its first pivot, then
+every block its second, and so on, until k rows stand. So every site and day is covered once k
+reaches their number. In the last round, where not all fit (the only one, if k is below the number of
+blocks), the nominees of that round meet in the same way one level up: their features are ``e(site) (x)
+psi(day)``, with harmonics of the season and of the years; each site's are pivoted in deflated rounds, and the
+sites give their pivots in turn. Where not all sites fit, they go by residual, then by a hash.
 
 Defined results: rows without site or time, or before ``floor_ns``, are never chosen; repeated
 rows (same id, site and time) count once; ties go to the lower id, then the earlier time; k above
@@ -53,6 +56,19 @@ def features(time_ns: np.ndarray) -> np.ndarray:
     return np.stack(cols, 1)
 
 
+YEAR = 365.2425
+
+
+def day_features(day: np.ndarray) -> np.ndarray:
+    """Harmonics of the season, and of eight years: near days are alike, opposite seasons are not."""
+    x = day / YEAR * 2 * np.pi
+    cols = [np.ones(len(day))]
+    for f in (1, 2):
+        cols += [np.sin(f * x) / f, np.cos(f * x) / f]
+    cols += [np.sin(x / 8), np.cos(x / 8), np.sin(x / 3) / 2]
+    return np.stack(cols, 1)
+
+
 def pivots(feat: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Up to ``most`` row numbers by deflated rounds of pivoted QR, and their residual norms."""
     left = np.arange(len(feat))
@@ -145,6 +161,33 @@ def _replay(most: int):
     return run
 
 
+def _in_turn(most: int):
+    """The nominees of one site, one for each of its days, in order of their pivots: ``turn`` from 1."""
+
+    def run(key, t):
+        t = t.sort_by([("day", "ascending")])
+        at, size = pivots(day_features(t["day"].to_numpy()), min(most, t.num_rows))
+        return t.select(["site", "day"]).take(pa.array(at)).append_column("turn", pa.array(np.arange(1, len(at) + 1), pa.int32())).append_column("residual", pa.array(size))
+
+    return run
+
+
+LAST = "site string, day long"
+
+
+def last_round(nominees: DataFrame, k: int) -> DataFrame:
+    """``k`` of the nominees, at most one a block, spread over the sites and within them over the days."""
+    days = nominees.select("site", "day")
+    sizes = [(r.n, r.b) for r in days.groupBy("site").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("b")).collect()]
+    lv, extra = level(sizes, k)
+    most = lv + (extra > 0)
+    turns = days.groupBy("site").applyInArrow(_in_turn(most), LAST + ", turn int, residual double")
+    chosen = turns.where(F.col("turn") <= lv)
+    if extra:
+        chosen = chosen.unionByName(turns.where(F.col("turn") == most).orderBy(F.desc(F.round("residual", 6)), F.xxhash64("site"), "site").limit(extra))
+    return nominees.join(chosen.select("site", "day"), ["site", "day"], "left_semi")
+
+
 def level(sizes: list[tuple[int, int]], k: int) -> tuple[int, int]:
     """``(L, r)``: all blocks give up to L rows, r of those with more give one row more. sizes: (rows, blocks)."""
     level_, left, alive = 0, max(0, k), sum(b for _, b in sizes)
@@ -181,7 +224,7 @@ def choose(manifest: DataFrame, k: int | None = None, share_permille: int | None
             break
     if extra:
         nominees = stage(nominees, "nominees")
-        last = nominees.where(F.col("rank") == most).orderBy(F.desc("pivot"), "site", "day").limit(extra)
+        last = last_round(nominees.where(F.col("rank") == most), extra)
         nominees = nominees.where(F.col("rank") < most).unionByName(last)
     day = F.date_format(F.timestamp_seconds(F.col("day") * 86400), "yyyyMMdd")
     return nominees.select("global_id", "site", day.alias("obs_day"), "time_ns", F.col("rank").alias("pick"))

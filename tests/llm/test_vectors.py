@@ -216,6 +216,34 @@ def test_walk_is_ordered_and_batches_agree():
         assert len(list(neighbours.walk(d1[q], d2[q]))) == 64
 
 
+@pytest.mark.parametrize("n,k1,k2,cells", [(9, 4, 4, 16), (9, 7, 5, 20), (5, 32, 32, 300), (6, 3, 9, 100), (8, 16, 16, 8), (4, 1, 1, 5), (0, 4, 4, 3)])
+def test_heaps_in_step_pop_in_order(n, k1, k2, cells):
+    rng = np.random.default_rng(n + k1)
+    d1, d2 = rng.random((n, k1)).astype(np.float32), rng.random((n, k2)).astype(np.float32)
+    i, j, s = neighbours.walks(d1, d2, cells)
+    assert i.shape == (n, min(cells, k1 * k2))
+    for q in range(n):
+        w = list(itertools.islice(neighbours.walk(d1[q], d2[q]), cells))
+        assert np.allclose([x[2] for x in w], s[q]) and len(set(zip(i[q].tolist(), j[q].tolist()))) == len(w)
+
+
+def test_recall_at_the_settings_of_the_queries(spark, monkeypatch):
+    """256 cells, as many as 33,000 rows have: the pairs' settings, and a quarter of the cells for lists."""
+    from lodevec.llm import queries as q
+
+    monkeypatch.setattr(neighbours, "PER_CELL", 4)
+    rng = np.random.default_rng(3)
+    scenes = rng.standard_normal((80, 64))
+    x = np.concatenate([scenes[i // 6] + 0.25 * rng.standard_normal(64) for i in range(480)] + [rng.standard_normal(64) for _ in range(300)]).reshape(-1, 64).astype(np.float32)
+    v = table(spark, np.arange(1, len(x) + 1), x)
+    exact = set(map(tuple, neighbours.mutual(neighbours.nearest(v, k=10, min_score=0.93, cells=None, slack=1.0)).collect()))
+    got = set(map(tuple, neighbours.mutual(neighbours.nearest(v, k=10, min_score=0.93, cells=q.P3_FOUND_CELLS, slack=q.P3_FOUND_SLACK)).collect()))
+    assert len(exact) > 300 and len(got ^ exact) <= 0.01 * len(exact)
+    truth = {(r.src, r.dst) for r in neighbours.brute_force(v, 5, 10).collect()}
+    near = {(r.src, r.dst) for r in neighbours.nearest(v, k=10, cells=64, query_step=5).collect()}
+    assert len(truth & near) >= 0.7 * len(truth)
+
+
 def test_all_cells_give_exact_neighbours(spark, scenes):
     g, x = scenes
     want, _ = brute_near(g, x, 5)
@@ -304,12 +332,26 @@ def test_subset_covers_and_levels(spark):
             assert len({(r.site, r.obs_day) for r in got}) == 14
         if k == 30:
             assert sum(r.site == "a" for r in got) == 30 - 13
+    three = subset.choose(m, k=3).collect()
+    assert {r.site for r in three} == {"a", "b", "d"}  # every site before any has two
+    five = subset.choose(m, k=5).collect()
+    assert len({(r.site, r.obs_day) for r in five}) == 5 and sum(r.site == "b" for r in five) == 3
     assert subset.choose(m.where("false"), k=5).count() == 0
     req = spark.createDataFrame([("r", 100), ("none", None)], "request_name string, share_permille int")
     assert subset.requested(m, req).count() == 72
     assert subset.requested(m, req.where("false")).count() == 0
 
 
+def test_few_picks_reach_all_sites_and_spread_over_the_years(spark):
+    rows = [(s * 1000 + d, f"s{s}", T0 + d * 30 * subset.DAY_NS, None, None) for s in range(6) for d in range(60 if s == 0 else 12)]
+    m = spark.createDataFrame(rows, MAN)
+    assert {r.site for r in subset.choose(m, k=6).collect()} == {f"s{s}" for s in range(6)}
+    got = [r for r in subset.choose(m, k=24).collect()]
+    assert {s: sum(r.site == s for r in got) for s in {r.site for r in got}} == {f"s{s}": 4 for s in range(6)}
+    days = sorted((r.time_ns - T0) // subset.DAY_NS for r in got if r.site == "s0")
+    assert days[-1] - days[0] > 600  # not one season
+
+
 def test_pivots_are_independent_before_they_repeat():
     t = T0 + np.arange(0, 86400, 600) * 10**9
     f = subset.features(t)
