@@ -35,7 +35,9 @@ def finite(v: Column | str) -> Column:
 
 
 def usable(v: Column | str, dim: int = DIM) -> Column:
-    return F.coalesce((F.size(v) == dim) & finite(v) & F.exists(v, lambda x: x != 0), F.lit(False))
+    """One pass: the squared norm is null, NaN or infinite if a number is, and 0 if all are (squares of floats neither overflow nor vanish)."""
+    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return F.coalesce((F.size(v) == dim) & square.between(5e-324, 1.7e308), F.lit(False))
 
 
 def let(value: Column, body) -> Column:
@@ -57,7 +59,7 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 def literal(v) -> Column:
     """A query vector as a constant array, at length one (the plan then folds its norm away)."""
     n = sum(float(x) ** 2 for x in v) ** 0.5
-    return F.array(*[F.lit(float(x) / n if n else 0.0) for x in v])
+    return F.expr("array(" + ",".join(f"{float(x) / n if n else 0.0!r}D" for x in v) + ")")
 
 
 def score_to(v: Column | str, query) -> Column:

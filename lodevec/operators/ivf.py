@@ -30,9 +30,9 @@ def auto_cells(n: int) -> int:
     return max(1, min(4096, int(n**0.5)))
 
 
-def index_string(cells: int) -> str:
-    """The index layout by name."""
-    return f"OPQ64_64,IVF{cells}_HNSW32,PQ64x8"
+def index_string(cells: int, parts: int = 16, codes: int = 256) -> str:
+    """The index layout by name: rotation, number of cells, parts and bits of the codes."""
+    return f"OPQ{parts},IVF{cells},PQ{parts}x{(codes - 1).bit_length()}"
 
 
 def train(sample: DataFrame, cells: int, seed: int = 0) -> DataFrame:
@@ -41,7 +41,8 @@ def train(sample: DataFrame, cells: int, seed: int = 0) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     d = sample.where(V.usable("embedding")).select(array_to_vector(V.normalise("embedding")).alias("features"))
-    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(d)
+    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10, initMode="random").fit(d.cache())
+    d.unpersist()
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return sample.sparkSession.createDataFrame(rows, "cell_id int, centroid array<double>")
 
@@ -100,48 +101,47 @@ def search(cells: DataFrame, centroids: DataFrame, manifest: DataFrame, query, k
     if k < 1:
         raise ValueError("k must be at least 1")
     pool = S.top(probe(cells, centroids, query, nprobe), query, prefilter).select("global_id", "score")
-    hits = manifest.join(F.broadcast(pool), "global_id")  # at most prefilter rows
+    hits = manifest.join(F.broadcast(pool), "global_id").select(*S.ATTRIBUTES).distinct()  # at most prefilter ids; repeats go last
     limit = k if min_score is None else S.MOST_HITS
     if min_score is not None:
         hits = hits.where(F.col("score") >= F.lit(float(min_score)))
     return S.diversify(hits.select(*S.ATTRIBUTES), diversify_seconds, limit).select("rank", *S.ATTRIBUTES)
 
 
-def filtered_search(cells: DataFrame, centroids: DataFrame, frames: DataFrame, query, k: int = 24, nprobe: int = 64, prefilter: int = 500, sites=None, windows=None, exact_rows: int = EXACT_ROWS, log: list | None = None, **options) -> DataFrame:
+def filtered_search(cells: DataFrame, centroids: DataFrame, manifest: DataFrame, query, k: int = 24, nprobe: int = 64, prefilter: int = 500, sites=None, windows=None, exact_rows: int = EXACT_ROWS, log: list | None = None, **options) -> DataFrame:
     """A filtered search that never comes back empty while rows match.
 
-    Small subsets are scanned exactly. Larger ones are probed within the filter, once more with
-    sixteen times the cells if that found nothing, and scanned if that found nothing either. ``log``
-    receives the steps taken.
+    Small subsets are scanned exactly. Larger ones are probed within the filter (the rows of the near cells first, then those
+    of them that the filter keeps), once more with sixteen times the cells if that found nothing, and scanned if
+    that found nothing either. ``log`` receives the steps taken. ``manifest`` may hold rows twice.
     """
     log = log if log is not None else []
     if not sites and not windows:
         log.append("probe")
-        return search(cells, centroids, frames.drop("embedding"), query, k, nprobe, prefilter, **options)
-    subset = select(frames, sites, windows)
+        return search(cells, centroids, manifest, query, k, nprobe, prefilter, **options)
+    subset = select(manifest, sites, windows).select("global_id", *[c for c in S.ATTRIBUTES if c not in ("global_id", "score")])
+    rows = lambda near: subset.join(near.select("global_id", "embedding"), "global_id")
     n = subset.count()
-    if n == 0:
-        log.append("none")
-        return S.search(subset, query, k, **options)
     if n <= exact_rows:
-        log.append("exact")
-        return S.search(subset, query, k, **options)
+        log.append("exact" if n else "none")
+        return S.search(rows(cells), query, k, **options)
     total = centroids.count()
     for m in dict.fromkeys((nprobe, min(total, ESCALATE * nprobe))):
         log.append(f"probe {m}")
-        pool = S.top(probe(subset.join(cells.select("global_id", "cell_id"), "global_id"), centroids, query, m), query, prefilter)
+        pool = S.scored(rows(probe(cells, centroids, query, m)), query).select(*S.ATTRIBUTES).distinct().orderBy(F.desc("score"), "global_id").limit(prefilter)
         if pool.limit(1).count():
             limit = k if options.get("min_score") is None else S.MOST_HITS
             if options.get("min_score") is not None:
                 pool = pool.where(F.col("score") >= options["min_score"])
             return S.diversify(pool.select(*S.ATTRIBUTES), options.get("diversify_seconds", 30), limit).select("rank", *S.ATTRIBUTES)
     log.append("exact")
-    return S.search(subset, query, k, **options)
+    return S.search(rows(cells), query, k, **options)
 
 
 def _grid(held, nprobes: list[int], most: int):
     def run(batches):
         ids, q, rank, cell_at = held.value
+        best = {m: S.Best(len(ids), most) for m in nprobes}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -153,8 +153,11 @@ def _grid(held, nprobes: list[int], most: int):
                 s = np.round(q[i : i + 256] @ v.T, V.DIGITS) + 0.0
                 place = rank[i : i + 256][:, cell]
                 for m in nprobes:
-                    qq, gg, sc = S.best_of_rows(np.where(place < m, s, -np.inf), ids[i : i + 256], g, most)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qq), m, np.int32)), pa.array(qq), pa.array(gg), pa.array(sc)], names=["nprobe", "query_id", "global_id", "score"])
+                    a, c = S.candidates(np.where(place < m, s, -np.inf), best[m].floor[i : i + 256], most)
+                    best[m].add(a + i, g[c], s[a, c])
+        for m in nprobes:
+            qq, gg, sc = best[m].rows()[:3]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qq), m, np.int32)), pa.array(ids[qq]), pa.array(gg), pa.array(sc)], names=["nprobe", "query_id", "global_id", "score"])
 
     return run
 

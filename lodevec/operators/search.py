@@ -65,59 +65,79 @@ def diversify(candidates: DataFrame, seconds: float | None, limit: int, by: tupl
     return out.select(*by, (F.col("p") + 1).alias("rank"), *[F.col(f"h.{c}").alias(c) for c in ATTRIBUTES])
 
 
-def search(frames: DataFrame, query, k: int = 24, min_score: float | None = None, diversify_seconds: float | None = 30, sites=None, windows=None) -> DataFrame:
-    """Exact search: ``(rank, global_id, score, site, time_ns, shard_path, frame_idx)``.
+def _paged(found: DataFrame, limit: int, seconds: float | None, kept: list[tuple] = [], after=None) -> DataFrame:  # noqa: B006
+    """The ranked list in pages of bounded size, each folded with what is kept so far.
 
-    Diversifying looks at the best candidates first and at twice as many whenever too few were kept
-    while more frames are left, so the result is that of the whole ranked list.
+    From the second page on, hits that a kept one suppresses are left out before ranking, so every page brings new
+    ones or ends the list, however many a crowded site has.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    if len(query) != V.DIM:
-        raise ValueError(f"a query has {V.DIM} numbers, not {len(query)}")
-    limit = k if min_score is None else MOST_HITS
-    found = scored(select(frames, sites, windows), query)
-    if min_score is not None:
-        found = found.where(F.col("score") >= F.lit(float(min_score)))
-    if diversify_seconds is None:
-        return ranked(found.orderBy(F.desc("score"), "global_id").limit(limit)).select("rank", *ATTRIBUTES)
+    spark = found.sparkSession
     take = max(512, 4 * limit)
+    schema = found.select(*ATTRIBUTES).schema
     while True:
-        cand = found.select(*ATTRIBUTES).orderBy(F.desc("score"), "global_id").limit(take).persist()
-        out = diversify(cand, diversify_seconds, limit).select("rank", *ATTRIBUTES)
-        if cand.count() < take or out.count() >= limit:
+        f = found.select(*ATTRIBUTES)
+        if after is not None:
+            s, g = F.lit(after.score), F.lit(after.global_id)
+            f = f.where((F.col("score") < s) | ((F.col("score") == s) & (F.col("global_id") >= g))).distinct()
+            if seconds is not None and kept:
+                d = int(seconds * 1_000_000_000)
+                near = spark.createDataFrame([(r[2], r[3] - d, r[3] + d) for r in kept if r[2] is not None and r[3] is not None], "_s string, _a long, _b long")
+                f = f.join(F.broadcast(near), (F.col("site") == F.col("_s")) & F.col("time_ns").between(F.col("_a"), F.col("_b")), "left_anti")  # at most ``limit`` rows
+        got = f.orderBy(F.desc("score"), "global_id").limit(take).collect()
+        rows = list(dict.fromkeys([*kept, *map(tuple, got)]))
+        out = diversify(spark.createDataFrame(rows, schema), seconds, limit).select("rank", *ATTRIBUTES)
+        if len(got) < take:
             return out
-        cand.unpersist()
-        take *= 2
-
+        done = out.collect()  # at most ``limit`` rows
+        if len(done) >= limit:
+            return spark.createDataFrame(done, out.schema)
+        if after is not None and (after.score, after.global_id) == (got[-1].score, got[-1].global_id):
+            take *= 2  # a page of one id's rows
+        kept, after = [tuple(r)[1:] for r in done], got[-1]
 
-def search_split(manifest: DataFrame, vectors: DataFrame, query, k: int = 24, min_score: float | None = None, diversify_seconds: float | None = 30) -> DataFrame:
-    """:func:`search` over all frames without joining them first.
 
-    Vectors alone are scored; the best few (never more than asked for here) are broadcast to the manifest. Repeated
-    rows count once; vectors without a manifest row are no frames. The number taken doubles while too few
-    hits are kept and there are more.
-    """
+def _check(query, k: int) -> None:
     if k < 1:
         raise ValueError("k must be at least 1")
     if len(query) != V.DIM:
         raise ValueError(f"a query has {V.DIM} numbers, not {len(query)}")
-    limit = k if min_score is None else MOST_HITS
-    found = scored(vectors, query).select("global_id", "score")
-    if min_score is not None:
-        found = found.where(F.col("score") >= F.lit(float(min_score)))
+
+
+def _above(found: DataFrame, min_score: float | None) -> DataFrame:
+    return found if min_score is None else found.where(F.col("score") >= F.lit(float(min_score)))
+
+
+def search(frames: DataFrame, query, k: int = 24, min_score: float | None = None, diversify_seconds: float | None = 30, sites=None, windows=None, most_hits: int = MOST_HITS) -> DataFrame:
+    """Exact search: ``(rank, global_id, score, site, time_ns, shard_path, frame_idx)``. ``frames`` may hold rows twice.
+
+    Filters and scores come before anything is shuffled. The result is that of the whole ranked list.
+    """
+    _check(query, k)
+    found = _above(scored(select(frames, sites, windows), query), min_score)
+    return _paged(found, k if min_score is None else most_hits, diversify_seconds)
+
+
+def search_split(manifest: DataFrame, vectors: DataFrame, query, k: int = 24, min_score: float | None = None, diversify_seconds: float | None = 30, most_hits: int = MOST_HITS) -> DataFrame:
+    """:func:`search` over all frames without joining them first; both tables may hold rows twice.
+
+    Vectors alone are scored; the best few (never more than asked for here) are broadcast to the manifest as it is
+    stored, and only what is left is cleaned of repeats. Vectors without a manifest row are no frames. Where these
+    few don't fill the list, the frames after them are joined and searched.
+    """
+    _check(query, k)
+    spark = manifest.sparkSession
+    limit = k if min_score is None else most_hits
     take = max(512, 4 * limit)
-    while True:
-        best = found.orderBy(F.desc("score"), "global_id").limit(take).persist()
-        n = best.count()
-        cand = best.distinct()
-        rows = manifest.join(F.broadcast(cand) if take <= 1 << 16 else cand, "global_id").select(*ATTRIBUTES).persist()
-        out = diversify(rows, diversify_seconds, limit).select("rank", *ATTRIBUTES)
-        if n < take or out.count() >= limit:
-            return out
-        rows.unpersist()
-        best.unpersist()
-        take *= 2
+    got = _above(scored(vectors, query), min_score).select("global_id", "score").orderBy(F.desc("score"), "global_id").limit(take).collect()
+    best = spark.createDataFrame(list(dict.fromkeys(map(tuple, got))), "global_id long, score double")
+    out = diversify(manifest.join(F.broadcast(best), "global_id").select(*ATTRIBUTES).distinct(), diversify_seconds, limit).select("rank", *ATTRIBUTES)
+    if len(got) < take:
+        return out
+    done = out.collect()  # at most ``limit`` rows
+    if len(done) >= limit:
+        return spark.createDataFrame(done, out.schema)
+    rest = _above(scored(manifest.join(vectors, "global_id"), query), min_score)
+    return _paged(rest, limit, diversify_seconds, [tuple(r)[1:] for r in done], got[-1])
 
 
 def export(hits: DataFrame) -> DataFrame:
@@ -151,22 +171,60 @@ def query(manifest: DataFrame, frames: DataFrame, site: str, hour, frame: int, *
     return export(search(frames, query_vector(frames, resolve(manifest, site, hour, frame)), **options).orderBy("rank"))
 
 
-def best_of_rows(s: np.ndarray, ids: np.ndarray, g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the k best finite scores of each row, ties to the lower id."""
-    kk = min(k, s.shape[1])
-    kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-    a, c = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-    sc, qq, gg = s[a, c], ids[a], g[c]
-    o = np.lexsort((gg, -sc, qq))
-    qq, gg, sc = qq[o], gg[o], sc[o]
-    first = np.flatnonzero(np.r_[True, qq[1:] != qq[:-1]])[: len(qq)]
-    keep = np.arange(len(qq)) - np.repeat(first, np.diff(np.r_[first, len(qq)])) < k
-    return qq[keep], gg[keep], sc[keep]
+def candidates(s: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what may stand among the k best of each row (with all ties), at its floor or above; finite only."""
+    hit = (s >= floor[:, None]) & np.isfinite(s)
+    if s.shape[1] > k:
+        many = np.flatnonzero(hit.sum(1) > k)
+        if len(many):
+            part = s[many]
+            kth = np.partition(np.where(hit[many], part, -np.inf), part.shape[1] - k, axis=1)[:, part.shape[1] - k]
+            hit[many] &= part >= kth[:, None]
+    return np.nonzero(hit)
+
+
+class Best:
+    """The k best rows of each of n queries so far, ties to the lower id; what a task sends on when its input ends.
+
+    Memory is a few times n x k numbers. ``floor`` is each query's k-th score: lower ones needn't be added.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.held: list[tuple] = []
+        self.size, self.most = 0, max(1 << 16, 4 * n * k)
+
+    def add(self, query: np.ndarray, gid: np.ndarray, score: np.ndarray, *more: np.ndarray) -> None:
+        if not len(query):
+            return
+        self.held.append((query, gid, score, *more))
+        self.size += len(query)
+        if self.size > self.most:
+            self.shrink()
+
+    def shrink(self) -> None:
+        cols = [np.concatenate(x) for x in zip(*self.held)]
+        o = np.lexsort((cols[1], -cols[2], cols[0]))
+        cols = [c[o] for c in cols]
+        q = cols[0]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        size = np.diff(np.r_[first, len(q)])
+        keep = np.arange(len(q)) - np.repeat(first, size) < self.k
+        full = size >= self.k
+        self.floor[q[first[full]]] = cols[2][first[full] + self.k - 1]
+        self.held, self.size = [tuple(c[keep] for c in cols)], int(keep.sum())
+
+    def rows(self):
+        if not self.held:
+            return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        self.shrink()
+        return self.held[0]
 
 
 def _batch(queries, k: int, skip_self: bool):
     def run(batches):
         ids, q = queries.value
+        best = Best(len(ids), k)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -174,14 +232,15 @@ def _batch(queries, k: int, skip_self: bool):
             v = b.column("embedding").flatten().to_numpy().astype(np.float64).reshape(len(g), -1)
             n = np.sqrt((v * v).sum(1))
             v /= np.where(n > 0, n, 1)[:, None]
-            out = []
             for i in range(0, len(ids), 512):
                 s = np.round(q[i : i + 512] @ v.T, V.DIGITS) + 0.0
                 if skip_self:
                     s[ids[i : i + 512][:, None] == g[None, :]] = -np.inf
-                out.append(best_of_rows(s, ids[i : i + 512], g, k))
-            qq, gg, sc = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(qq), pa.array(gg), pa.array(sc)], names=["query_id", "global_id", "score"])
+                a, c = candidates(s, best.floor[i : i + 512], k)
+                best.add(a + i, g[c], s[a, c])
+        qq, gg, sc = best.rows()[:3]
+        if len(qq):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[qq]), pa.array(gg), pa.array(sc)], names=["query_id", "global_id", "score"])
 
     return run
 

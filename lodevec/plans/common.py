@@ -38,6 +38,14 @@ def usable_vectors(spark, folder):
     return src.usable_vectors(spark, folder)
 
 
+def stored_manifest(spark, folder):
+    return src.stored_manifest(spark, folder)
+
+
+def stored_frames(spark, folder):
+    return src.stored_frames(spark, folder)
+
+
 def query_set(vecs):
     """Every frame whose id is divisible by 50."""
     return vecs.where(F.pmod("global_id", F.lit(50)) == 0).select(F.col("global_id").alias("query_id"), "embedding")
@@ -45,4 +53,4 @@ def query_set(vecs):
 
 QSET = "qs AS (SELECT global_id AS query_id, embedding AS qv FROM v WHERE global_id % 50 = 0)"
 
-__all__ = ["COS", "M", "Q", "QSET", "SITE", "UTC", "V", "first_query", "frames", "manifest", "query_set", "table", "usable_vectors", "vectors"]
+__all__ = ["COS", "M", "Q", "QSET", "SITE", "UTC", "V", "first_query", "frames", "manifest", "query_set", "stored_frames", "stored_manifest", "table", "usable_vectors", "vectors"]

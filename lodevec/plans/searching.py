@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodevec.functions import vector as vec
+from lodevec import engine
 from lodevec.operators import ivf, metrics, sample, search, validate
 from lodevec.operators.filters import in_windows
-from lodevec.plans.common import COS, QSET, M, Q, V, first_query, frames, manifest, query_set, table, usable_vectors, vectors
+from lodevec.plans.common import COS, QSET, M, Q, V, first_query, frames, manifest, query_set, stored_frames, stored_manifest, table, usable_vectors, vectors
 
 SITES = ["brqu", "dovr", "fjoa"]
 WINDOWS = [(1136073600000000000, 1137283199999999999), (1138752000000000000, 1139961599999999999)]  # two fortnights of 2006
@@ -19,21 +20,21 @@ CELLS, PROBE, PREFILTER, K = 16, 4, 500, 24
 
 def search_exact(spark, folder):
     v = usable_vectors(spark, folder)
-    return search.search_split(manifest(spark, folder), v, first_query(v), k=K, diversify_seconds=None)
+    return search.search_split(stored_manifest(spark, folder), v, first_query(v), k=K, diversify_seconds=None)
 
 
 def search_diversified(spark, folder):
     v = usable_vectors(spark, folder)
-    return search.search_split(manifest(spark, folder), v, first_query(v), k=K, diversify_seconds=30)
+    return search.search_split(stored_manifest(spark, folder), v, first_query(v), k=K, diversify_seconds=30)
 
 
 def search_threshold(spark, folder):
     v = usable_vectors(spark, folder)
-    return search.search_split(manifest(spark, folder), v, first_query(v), min_score=0.3, diversify_seconds=None)
+    return search.search_split(stored_manifest(spark, folder), v, first_query(v), min_score=0.3, diversify_seconds=None)
 
 
 def search_filtered(spark, folder):
-    f = frames(spark, folder)
+    f = stored_frames(spark, folder)
     return search.search(f, first_query(usable_vectors(spark, folder)), k=K, diversify_seconds=3600, sites=SITES, windows=WINDOWS)
 
 
@@ -86,35 +87,38 @@ def contrast_stretch(spark, folder):
     return v.select("global_id", F.round(F.array_min("s"), 6).alias("lo"), F.round(F.array_max("s"), 6).alias("hi"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-def _centroids(spark, folder):
-    """The vectors of the frames with the lowest keys: cells that SQL can name as well."""
-    v = vectors(spark, folder)
-    one = v.groupBy("global_id").agg(F.min("embedding").alias("embedding"))
-    c = one.withColumn("k", sample.key("global_id", 7)).orderBy("k", "global_id").limit(CELLS).collect()
-    rows = [(i, [float(x) for x in r.embedding]) for i, r in enumerate(c)]
-    return v, spark.createDataFrame(rows, "cell_id int, centroid array<double>")
+def _cells(spark, folder):
+    """The vectors by their nearest of 16 stored vectors, those of the lowest keys (cells that SQL can name as well): made once, read by cell."""
+    source = f"{folder}/frame_vectors.parquet"
+
+    def centroids():
+        one = usable_vectors(spark, folder).withColumn("k", sample.key("global_id", 7))
+        low = one.groupBy("global_id", "k").agg(F.min("embedding").alias("embedding")).orderBy("k", "global_id").limit(CELLS).collect()
+        return spark.createDataFrame([(i, [float(x) for x in r.embedding]) for i, r in enumerate(low)], "cell_id int, centroid array<double>").coalesce(1)
+
+    c = engine.derived(spark, "cells16-centroids", [source], centroids)
+    return engine.derived(spark, "cells16", [source], lambda: ivf.assign(vectors(spark, folder), c).repartition("cell_id"), ("cell_id",)), c
 
 
 def ivf_cells(spark, folder):
-    v, c = _centroids(spark, folder)
-    return ivf.assign(v, c).select("global_id", "cell_id")
+    return _cells(spark, folder)[0].select("global_id", "cell_id")
 
 
 def ivf_search(spark, folder):
-    v, c = _centroids(spark, folder)
-    return ivf.search(ivf.assign(v, c), c, manifest(spark, folder), first_query(v), k=K, nprobe=PROBE, prefilter=PREFILTER, diversify_seconds=None)
+    cells, c = _cells(spark, folder)
+    return ivf.search(cells, c, stored_manifest(spark, folder), first_query(usable_vectors(spark, folder)), k=K, nprobe=PROBE, prefilter=PREFILTER, diversify_seconds=None)
 
 
 def ivf_filtered(spark, folder):
     """A filtered subset above the exact limit: probed within the filter."""
-    v, c = _centroids(spark, folder)
-    return ivf.filtered_search(ivf.assign(v, c), c, frames(spark, folder), first_query(v), k=K, nprobe=PROBE, prefilter=PREFILTER, sites=SITES, windows=WINDOWS, exact_rows=0, diversify_seconds=None)
+    cells, c = _cells(spark, folder)
+    return ivf.filtered_search(cells, c, stored_manifest(spark, folder), first_query(usable_vectors(spark, folder)), k=K, nprobe=PROBE, prefilter=PREFILTER, sites=SITES, windows=WINDOWS, exact_rows=0, diversify_seconds=None)
 
 
 def _grid(spark, folder):
-    v, c = _centroids(spark, folder)
-    q = query_set(v)
-    return v, q, ivf.grid(ivf.assign(v, c), c, q, [1, 4, 16], [20, 200], 10)
+    cells, c = _cells(spark, folder)
+    q = query_set(vectors(spark, folder))
+    return cells.select("global_id", "embedding"), q, ivf.grid(cells, c, q, [1, 4, 16], [20, 200], 10)
 
 
 def ivf_grid(spark, folder):
@@ -147,7 +151,8 @@ def ivf_pool_recall(spark, folder):
 def ivf_trained(spark, folder):
     """Cells by k-means: sizes of the cells (no SQL can fit them)."""
     v = vectors(spark, folder)
-    c = ivf.train(sample.uniform(v, 4096, seed=1), ivf.auto_cells(v.count()))
+    n = ivf.auto_cells(v.count())
+    c = ivf.train(sample.uniform(v, 64 * n, seed=1), n)  # 64 vectors a cell, however many cells
     return ivf.assign(v, c).groupBy("cell_id").agg(F.count("*").alias("n"))
 
 
@@ -170,6 +175,43 @@ def locality(spark, folder):
     return metrics.locality(g.where("nprobe = 4 and prefilter = 200"), v.count()).select("query_id", "runs", F.round("span_share", 6).alias("span_share"))
 
 
+def index_search(spark, folder):
+    """The written index, by codes and then exactly."""
+    return engine.index(spark, folder).search(stored_manifest(spark, folder), first_query(usable_vectors(spark, folder)), k=K, nprobe=64, prefilter=PREFILTER, diversify_seconds=30)
+
+
+def index_header(spark, folder):
+    """What the written index says of itself, against its rows."""
+    i = engine.index(spark, folder)
+    rows = i.rows.agg(F.count("*").alias("n_rows"), F.count_distinct("cell_id").alias("filled"), F.bool_and(F.size("codes") == i.header["parts"]).alias("coded"))
+    return rows.select("n_rows", F.lit(i.header["dim"]).alias("dim"), "coded", (F.col("n_rows") == i.header["n"]).alias("counts_agree"), (F.col("filled") <= i.header["cells"]).alias("cells_agree"))
+
+
+def _index_answers(spark, folder):
+    q = query_set(vectors(spark, folder))
+    return q, engine.index(spark, folder).batch(q, k=10, nprobe=64, prefilter=PREFILTER)
+
+
+def index_self_retrieval(spark, folder):
+    """Self-retrieval through the codes."""
+    q, a = _index_answers(spark, folder)
+    return validate.self_retrieval(q, a)
+
+
+def index_recall(spark, folder):
+    """Recall@10 of the two stages and of the codes alone, against brute force: above the least allowed, and the rerank no worse."""
+    q, a = _index_answers(spark, folder)
+    truth = search.batch_top(vectors(spark, folder), q, 10)
+    two = metrics.recall_summary(metrics.recall(truth, a.where("rank <= 10")))
+    raw = metrics.recall_summary(metrics.recall(truth, a.where("approx_rank <= 10").withColumn("rank", F.col("approx_rank"))))
+    return two.crossJoin(raw.select(F.col("mean").alias("raw_mean"))).select("n", (F.col("mean") >= 0.9).alias("enough"), (F.col("mean") >= F.col("raw_mean")).alias("no_worse"))  # one row each
+
+
+def index_filtered(spark, folder):
+    """A filtered search through the index that is small enough to be scanned exactly."""
+    return engine.index(spark, folder).search(stored_manifest(spark, folder), first_query(usable_vectors(spark, folder)), k=K, sites=SITES, windows=WINDOWS, diversify_seconds=3600)
+
+
 _RANK = "row_number() OVER (ORDER BY score DESC, global_id)"
 _FRAMES = f"{M}, {V}, f AS (SELECT m.*, embedding FROM m JOIN v USING (global_id)), {Q}"
 _SCORED = f"WITH RECURSIVE {_FRAMES}, s AS (SELECT global_id, {COS} AS score, site, time_ns, shard_path, frame_idx FROM f, q"
@@ -218,7 +260,7 @@ best AS (SELECT query_id, arg_min(global_id, (-score, global_id)) AS top, max(sc
 QUERIES = {
     f.__name__: f
     for f in (search_exact, search_diversified, search_threshold, search_filtered, search_export, search_by_address, lookup_hits, frames_in_windows, batch_topk, batch_topk_others, self_retrieval,
-              vector_norms, contrast_stretch, ivf_cells, ivf_search, ivf_filtered, ivf_grid, ivf_recall, ivf_score_gap, ivf_pool_recall, ivf_trained, pq_scores, locality)
+              vector_norms, contrast_stretch, ivf_cells, ivf_search, ivf_filtered, ivf_grid, ivf_recall, ivf_score_gap, ivf_pool_recall, ivf_trained, pq_scores, locality, index_search, index_header, index_self_retrieval, index_recall, index_filtered)
 }
 SQL = {
     "search_exact": _top_sql("", K),
@@ -239,6 +281,10 @@ s AS (SELECT global_id, {COS} AS score, site, time_ns FROM f, q ORDER BY score D
     "self_retrieval": f"""WITH {V}, {QSET}, s AS (SELECT query_id, global_id, {COS} AS score FROM v, qs),
 b AS (SELECT query_id, arg_min(global_id, (-score, global_id)) AS best, max(score) AS m, max(CASE WHEN global_id = query_id THEN score END) AS own FROM s GROUP BY query_id)
 SELECT count(*) AS n, avg(CASE WHEN best = query_id OR own = m THEN 1.0 ELSE 0.0 END) AS self_share FROM b""",
+    "index_header": f"WITH {V} SELECT count(*) AS n_rows, 64 AS dim, true AS coded, true AS counts_agree, true AS cells_agree FROM v",
+    "index_self_retrieval": f"WITH {V}, {QSET} SELECT count(DISTINCT query_id) AS n, CAST(1.0 AS DOUBLE) AS self_share FROM qs",
+    "index_recall": f"WITH {V}, {QSET} SELECT count(DISTINCT query_id) AS n, true AS enough, true AS no_worse FROM qs",
+    "index_filtered": _fold_sql(_FILTER, K, 3600),
     "vector_norms": f"""WITH {V}, n AS (SELECT global_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x * x))) AS norm FROM v)
 SELECT global_id, round(norm, 6) AS norm, round(embedding[1] / norm, 6) AS first, round(sqrt(list_sum(list_transform(embedding, lambda x: (x / norm) * (x / norm)))), 6) AS unit_norm, round(norm * norm, 6) AS self_dot FROM n""",
     "contrast_stretch": f"""WITH {V}, p AS (SELECT global_id, embedding, list_aggregate(embedding, 'quantile_cont', 0.01) AS a, list_aggregate(embedding, 'quantile_cont', 0.99) AS b FROM v),

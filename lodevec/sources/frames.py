@@ -15,8 +15,18 @@ HITS = "rank int, global_id long, score double, site string, time_ns long, shard
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Manifest rows, site codes plain, exact repeats once. Rows without an id are left out."""
+    return stored_manifest(spark, folder).distinct()
+
+
+def stored_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`manifest` as it is stored, repeats and all: no shuffle."""
     m = table(spark, folder, "manifest").where("global_id is not null")
-    return m.select("global_id", code("site").alias("site"), "time_ns", "shard_path", "frame_idx").distinct()
+    return m.select("global_id", code("site").alias("site"), "time_ns", "shard_path", "frame_idx")
+
+
+def stored_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`frames` with repeats."""
+    return stored_manifest(spark, folder).join(usable_vectors(spark, folder), "global_id")
 
 
 def usable_vectors(spark: SparkSession, folder: str, dim: int = 64) -> DataFrame:

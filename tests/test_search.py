@@ -115,7 +115,7 @@ def test_full_probe_is_exact(spark, frames):
 
 def test_cells_by_size():
     assert [ivf.auto_cells(n) for n in (0, 5, 10_000, 10**6, 10**8)] == [1, 2, 100, 4096, 65536]
-    assert "IVF64_" in ivf.index_string(64)
+    assert ivf.index_string(64) == "OPQ16,IVF64,PQ16x8"
 
 
 def test_index_round_trip(spark, frames, tmp_path):
