@@ -1,75 +1,100 @@
-"""``python -m lodevec build|query|validate|bench ...`` (or through spark-submit)."""
+"""``python -m lodevec build|query|validate|bench|crawl|download ...`` (or through spark-submit)."""
 
 from __future__ import annotations
 
 import argparse
 import json
-import time
 
 from pyspark.sql import functions as F
 
 
-def main(argv: list[str] | None = None) -> int:
+def arguments() -> argparse.ArgumentParser:
+    from lodevec.sources.archive import Places
+
+    places = Places()
     p = argparse.ArgumentParser(prog="lodevec", description=__doc__)
     sub = p.add_subparsers(dest="what", required=True)
-    b = sub.add_parser("build", help="fit cells and write the index tables")
-    q = sub.add_parser("query", help="search by the address of a frame")
-    v = sub.add_parser("validate", help="run the checks; exit code 1 if one fails")
-    m = sub.add_parser("bench", help="time searches from sampled frames")
+    one = lambda name, text: sub.add_parser(name, help=text)
+    b, q, v, m = one("build", "train and write the index"), one("query", "search by the address of a frame"), one("validate", "run the checks; exit code 1 if one fails"), one("bench", "latencies, recall, stages, storage")
     for x in (b, q, v, m):
-        x.add_argument("--data", required=True, help="folder of the tables")
-        x.add_argument("--master")
-    b.add_argument("--out", required=True)
+        x.add_argument("--data", default=places.data_root, help="folder of the tables")
+        x.add_argument("--index", default=None, help="folder of the index; by default one is kept for each state of the data")
+        x.add_argument("--nprobe", type=int, default=64)
+        x.add_argument("--prefilter", type=int, default=500)
     b.add_argument("--cells", type=int)
-    b.add_argument("--train", type=int, default=65_536)
     q.add_argument("site")
     q.add_argument("hour")
     q.add_argument("frame", type=int)
     q.add_argument("--results", type=int, default=24)
     q.add_argument("--min-score", type=float)
     q.add_argument("--diversify", type=float, default=30)
+    q.add_argument("--exact", action="store_true", help="scan all vectors instead of the index")
     q.add_argument("--csv", help="folder for a CSV file; printed otherwise")
     v.add_argument("--threshold", action="append", default=[], metavar="NAME=VALUE")
+    v.add_argument("--no-index", action="store_true", help="only what needs no index")
     v.add_argument("--json", help="folder for the report")
     m.add_argument("--queries", type=int, default=10)
-    a = p.parse_args(argv)
+    m.add_argument("--out", default=f"{places.artifacts}/bench")
+    c, d = one("crawl", "list the image files below seed pages"), one("download", "fetch the files of a work-list")
+    c.add_argument("seeds", nargs="+")
+    c.add_argument("--state", default=f"{places.artifacts}/crawl", help="folder of the crawl's levels; a stopped crawl goes on from it")
+    c.add_argument("--out", default=f"{places.artifacts}/listing")
+    c.add_argument("--start")
+    c.add_argument("--end")
+    c.add_argument("--pause", type=float, default=0.5)
+    d.add_argument("worklist")
+    d.add_argument("--out", default=f"{places.artifacts}/downloads")
+    for x in (b, q, v, m, c, d):
+        x.add_argument("--master")
+    return p
 
-    from lodevec.operators import ivf, metrics, sample, search, validate
+
+def main(argv: list[str] | None = None) -> int:
+    a = arguments().parse_args(argv)
+
+    from lodevec import engine
+    from lodevec.operators import report, search
     from lodevec.session import build_session
-    from lodevec.sources import archive, frames
+    from lodevec.sources import archive, frames, web
+    from lodevec.sources.tables import table
 
     spark = build_session("lodevec", a.master)
-    vecs = frames.vectors(spark, a.data)
+    if a.what == "crawl":
+        pages = web.prune(web.crawl(spark, a.seeds, a.state, pause=a.pause), a.start, a.end)
+        found = archive.listing(pages, start=a.start, end=a.end)
+        found.write.mode("overwrite").parquet(a.out)
+        print(json.dumps({"files": spark.read.parquet(a.out).count(), "unread_pages": pages.where("html is null").count()}))
+        return 0
+    if a.what == "download":
+        web.download(archive.read_worklist(spark, a.worklist)).write.mode("overwrite").parquet(a.out)
+        got = spark.read.parquet(a.out)
+        print(json.dumps({r.status: r.n for r in got.groupBy("status").agg(F.count("*").alias("n")).collect()}))
+        return 1 if web.unfinished(got).limit(1).count() else 0
+    manifest = frames.stored_manifest(spark, a.data)
     if a.what == "build":
-        n = vecs.count()
-        cent = ivf.train(sample.uniform(vecs, a.train), a.cells or ivf.auto_cells(n))
-        cent.write.mode("overwrite").parquet(f"{a.out}/centroids")
-        ivf.write(ivf.assign(vecs, cent), f"{a.out}/cells")
-        print(json.dumps({"vectors": n, "cells": cent.count()}))
+        options = {"cells": a.cells} if a.cells else {}
+        print(json.dumps(engine.index(spark, a.data, a.index, **options).header))
     elif a.what == "query":
-        hits = search.query(frames.manifest(spark, a.data), frames.frames(spark, a.data), a.site, a.hour, a.frame, k=a.results, min_score=a.min_score, diversify_seconds=a.diversify)
+        options = dict(k=a.results, min_score=a.min_score, diversify_seconds=a.diversify)
+        if a.exact:
+            hits = search.query(manifest, frames.usable_vectors(spark, a.data), a.site, a.hour, a.frame, **options)
+        else:
+            hits = engine.query(spark, a.data, a.site, a.hour, a.frame, at=a.index, nprobe=a.nprobe, prefilter=a.prefilter, **options)
         archive.write_csv(hits, a.csv) if a.csv else hits.show(a.results, truncate=False)
     elif a.what == "validate":
-        from lodevec.sources.tables import table
-
-        h = validate.health(table(spark, a.data, "frame_vectors"))
-        s = vecs.where(F.pmod("global_id", F.lit(50)) == 0).select(F.col("global_id").alias("query_id"), "embedding")
-        r = validate.self_retrieval(s, search.batch_top(vecs, s, 1))
-        one = lambda d, name, c: d.select(F.lit(name).alias("name"), F.col(c).cast("double").alias("value"))
-        got = validate.gate(one(h, "zero_norm", "n_zero").unionByName(one(h, "non_finite", "n_non_finite")).unionByName(one(r, "self_retrieval", "self_share")), {k: float(x) for k, x in (t.split("=") for t in a.threshold)})
-        got.show(truncate=False)
+        vecs = frames.vectors(spark, a.data)
+        q = vecs.where(F.pmod("global_id", F.lit(50)) == 0).select(F.col("global_id").alias("query_id"), "embedding")
+        index = None if a.no_index else engine.index(spark, a.data, a.index)
+        limits = {k: float(x) for k, x in (t.split("=") for t in a.threshold)}
+        got, verdict = report.validation(frames.manifest(spark, a.data), table(spark, a.data, "frame_vectors"), vecs, index, q, limits, nprobe=a.nprobe, prefilter=a.prefilter)
+        print(report.text_table([r.asDict() for r in got.orderBy("name").collect()]))
+        print(json.dumps(verdict))
         if a.json:
             archive.write_json(got, a.json)
-        return 0 if validate.verdict(got).first().passed else 1
+        return 0 if verdict["passed"] else 1
     else:
-        f = frames.frames(spark, a.data).cache()
-        ids = [r.global_id for r in sample.uniform(f.select("global_id").distinct(), a.queries).collect()]
-        rows = []
-        for g in ids:
-            vec, t = frames.query_vector(f, g), time.time()
-            search.search(f, vec, diversify_seconds=None).collect()
-            rows.append((time.time() - t,))
-        metrics.summary(spark.createDataFrame(rows, "seconds double"), "seconds").show(truncate=False)
+        vecs = frames.usable_vectors(spark, a.data)
+        print(report.report_text(report.benchmark(spark, manifest, vecs, engine.index(spark, a.data, a.index), a.out, a.queries, points=((8, 100), (a.nprobe, a.prefilter)))))
     return 0
 
 

@@ -73,3 +73,13 @@ def index(spark: SparkSession, folder: str, at: str | None = None, **options) ->
     strata = frames.stored_manifest(spark, folder).select("global_id", "site", F.date_format(F.timestamp_micros(F.expr("time_ns div 1000")), "yyyyMM").alias("month"))
     _open[key] = build(frames.vectors(spark, folder), where, strata=strata, stamp=code, **options)
     return _open[key]
+
+
+def query(spark: SparkSession, folder: str, site: str, hour, frame: int, at: str | None = None, **options) -> DataFrame:
+    """Search by address through the folder's index; the export table. Options are those of :meth:`Index.search`."""
+    from lodevec.operators import search
+
+    m = frames.stored_manifest(spark, folder)
+    i = index(spark, folder, at)
+    vector = frames.query_vector(i.rows, search.resolve(m, site, hour, frame))
+    return search.export(i.search(m, vector, **options).orderBy("rank"))

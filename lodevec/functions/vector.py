@@ -68,6 +68,30 @@ def score_to(v: Column | str, query) -> Column:
     return F.round(F.when(n > 0, dot(v, literal(query)) / F.nullif(n, F.lit(0.0))).otherwise(F.lit(0.0)), DIGITS)
 
 
+def disc(v: Column | str, width: int) -> Column:
+    """A square image in rows of ``width`` numbers: 0 outside the largest disc that fits into it."""
+    mid, r2 = (width - 1) / 2, (width / 2) ** 2
+    inside = lambda i: (F.pmod(i, F.lit(width)) - mid) * (F.pmod(i, F.lit(width)) - mid) + (F.floor(i / width) - mid) * (F.floor(i / width) - mid) <= r2
+    return F.transform(v, lambda x, i: F.when(inside(i), x.cast("double")).otherwise(F.lit(0.0)))
+
+
+def resize(v: Column | str, width: int, to: int) -> Column:
+    """A square image in rows of ``width`` numbers at ``to`` x ``to`` numbers, bilinear between pixel centres."""
+    v = F.col(v) if isinstance(v, str) else v
+    at = lambda k: F.least(F.greatest((k + 0.5) * (width / to) - 0.5, F.lit(0.0)), F.lit(float(width - 1)))
+
+    def pixel(i: Column) -> Column:
+        y, x = at(F.floor(i / to)), at(F.pmod(i, F.lit(to)))
+        y0, x0 = F.floor(y).cast("int"), F.floor(x).cast("int")
+        y1, x1 = F.least(y0 + 1, F.lit(width - 1)), F.least(x0 + 1, F.lit(width - 1))
+        p = lambda a, b: F.get(v, a * width + b).cast("double")
+        top = p(y0, x0) + (p(y0, x1) - p(y0, x0)) * (x - x0)
+        low = p(y1, x0) + (p(y1, x1) - p(y1, x0)) * (x - x0)
+        return top + (low - top) * (y - y0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to * to - 1)), pixel)
+
+
 def stretch(v: Column | str, low: float = 0.01, high: float = 0.99) -> Column:
     """Robust scaling to 0..1 between two percentiles; a flat vector gives zeros, never NaN.
 

@@ -76,6 +76,11 @@ def counts(rows: DataFrame, by: str = "status", size: str | None = None) -> Data
     return rows.groupBy(by).agg(*aggs)
 
 
+def unsuccessful(rows: DataFrame) -> DataFrame:
+    """Rows that failed or were stopped."""
+    return rows.where(F.col("status").isin("failed", "stopped")).orderBy("site", "datetime") if "datetime" in rows.columns else rows.where(F.col("status").isin("failed", "stopped"))
+
+
 def unfinished(inventory: DataFrame, done: DataFrame, keys: Sequence[str] = ("site", "datetime")) -> DataFrame:
     """Rows whose outputs don't stand yet: the outputs, not a log, say what is done."""
     return inventory.join(done.select(*keys).distinct(), list(keys), "left_anti")

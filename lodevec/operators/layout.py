@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,16 @@ def totals(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("n_rows"), F.countDistinct("global_id").alias("n_ids"), F.countDistinct("shard_path").alias("n_shards"), F.countDistinct("site").alias("n_sites"), F.min("time_ns").alias("min_ns"), F.max("time_ns").alias("max_ns"))
 
 
+def ordered_digest(paths: DataFrame, column: str = "shard_path") -> str:
+    """SHA-256 of the distinct paths in order, one to a line. The hash of one list is one chain: rows stream through it, none are held."""
+    h, first = hashlib.sha256(), True
+    p = paths.where(f"{column} is not null").select(F.col(column).alias("p")).distinct().orderBy("p")
+    for r in p.toLocalIterator(prefetchPartitions=True):
+        h.update((b"" if first else b"\n") + r.p.encode())
+        first = False
+    return h.hexdigest()
+
+
 def digest(paths: DataFrame, column: str = "shard_path") -> DataFrame:
     """SHA-256 over the ordered distinct paths, in two levels: the paths of each site folder, then the folders.
 

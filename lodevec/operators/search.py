@@ -164,11 +164,11 @@ def resolve(manifest: DataFrame, site: str, hour, frame: int) -> int:
     raise KeyError(f"{site} has nothing at {stamp}; days: {', '.join(x for x in days if x)}")
 
 
-def query(manifest: DataFrame, frames: DataFrame, site: str, hour, frame: int, **options) -> DataFrame:
-    """Search by address; the export table."""
+def query(manifest: DataFrame, vectors: DataFrame, site: str, hour, frame: int, **options) -> DataFrame:
+    """Exact search by address; the export table. Both tables may hold rows twice."""
     from lodevec.sources.frames import query_vector
 
-    return export(search(frames, query_vector(frames, resolve(manifest, site, hour, frame)), **options).orderBy("rank"))
+    return export(search_split(manifest, vectors, query_vector(vectors, resolve(manifest, site, hour, frame)), **options).orderBy("rank"))
 
 
 def candidates(s: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,8 @@ from lodevec.operators import layout
 
 # Default thresholds of the report.
 THRESHOLDS = {"recall_at_k": 0.9, "self_retrieval": 1.0, "zero_norm": 0.0, "non_finite": 0.0}
+# Checks where less is better: their threshold is the most allowed.
+AT_MOST = ("zero_norm", "non_finite", "null_vectors", "wrong_length", "index_rows_lacking", "top1_gap_mean", "top1_gap_max")
 CHECK = "name string, value double, passed boolean"
 
 
@@ -55,7 +57,7 @@ def gate(checks: DataFrame, thresholds: dict[str, float] | None = None) -> DataF
     """``(name, value, threshold, passed)``; given thresholds override the defaults one by one. No threshold: no verdict."""
     spark: SparkSession = checks.sparkSession
     t = spark.createDataFrame([(k, float(v)) for k, v in (THRESHOLDS | (thresholds or {})).items()], "name string, threshold double")
-    below = F.col("name").isin("zero_norm", "non_finite")
+    below = F.col("name").isin(*AT_MOST)
     return checks.join(F.broadcast(t), "name", "left").select("name", "value", "threshold", F.when(below, F.col("value") <= F.col("threshold")).otherwise(F.col("value") >= F.col("threshold")).alias("passed"))
 
 
@@ -65,8 +67,9 @@ def verdict(gated: DataFrame) -> DataFrame:
 
 
 def freeze(measured: DataFrame, floor: float = 0.0, slack: float = 0.05) -> DataFrame:
-    """Thresholds from measured values: ``round(max(floor, value - slack), 3)``."""
-    return measured.select("name", F.round(F.greatest(F.lit(floor), F.col("value") - slack), 3).alias("threshold"))
+    """Thresholds from measured values: ``round(max(floor, value - slack), 3)``; ``round(value + slack, 3)`` where less is better."""
+    least = F.greatest(F.lit(floor), F.col("value") - slack)
+    return measured.select("name", F.round(F.when(F.col("name").isin(*AT_MOST), F.col("value") + slack).otherwise(least), 3).alias("threshold"))
 
 
 def orphans(small: DataFrame, large: DataFrame, key: str) -> DataFrame:

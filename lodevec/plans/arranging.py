@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodevec.functions import when
-from lodevec.operators import filters, layout, metrics, rebuild, sample, validate
+from lodevec.operators import filters, layout, metrics, rebuild, report, sample, validate
 from lodevec.operators.compaction import site_hour
 from lodevec.plans.common import COS, QSET, UTC, M, V, frames, manifest, query_set, table, vectors
 
@@ -148,6 +148,18 @@ def speed_ratios(spark, folder):
     return d.select("query_id", F.round("speed_up", 5).alias("speed_up"))
 
 
+def captions(spark, folder):
+    """The three lines under each reported hit."""
+    h = table(spark, folder, "hits").where("score is not null and not isnan(score) and time_ns is not null and site is not null")
+    return h.select("hit_id", report.caption_of(F.col("hit_rank")).alias("caption"))
+
+
+def paths_digest(spark, folder):
+    """Number and digest of the ordered shard paths."""
+    m = table(spark, folder, "manifest")
+    return spark.createDataFrame([(layout.ordered_digest(m),)], "sha256 string").crossJoin(m.agg(F.count_distinct("shard_path").alias("n_shards")))  # one row each
+
+
 def nearest_in_time(spark, folder):
     """For each reported hit the manifest frame of its site nearest to half a minute later."""
     from lodevec.sources.tables import code
@@ -222,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (id_islands, merged_ranges, browse, browse_map, site_blocks, monotone, shard_starts, frame_positions, site_codes, totals, shard_digest, dense_ids, month_counts, stratified_sample, uniform_sample,
               sample_check, vector_health, integrity, gated_report, report_verdict, frozen_thresholds, reference_agreement, export_roundtrip, score_summary, speed_ratios, nearest_in_time, rebuilt_shards,
-              cross_site_pairs, tiny_in_small, site_day_sets, path_hours)
+              cross_site_pairs, tiny_in_small, site_day_sets, path_hours, captions, paths_digest)
 }
 SQL = {
     "id_islands": f"""WITH {M}, d AS (SELECT DISTINCT global_id AS i FROM m WHERE site IN ('brqu', 'dovr')), g AS (SELECT i, i - row_number() OVER (ORDER BY i) AS k FROM d)
@@ -254,7 +266,7 @@ SELECT count(*) AS n_rows, count(DISTINCT global_id) AS n_ids, count(DISTINCT sh
 (SELECT count(*) FILTER (back) FROM l) AS n_back, (SELECT count(*) FILTER (back) FROM l) = 0 AS monotone, count(DISTINCT global_id) = (SELECT count(DISTINCT global_id) FROM v) AS counts_agree FROM m""",
     "gated_report": f"WITH {_CHECKS} SELECT * FROM g",
     "report_verdict": f"WITH {_CHECKS} SELECT coalesce(bool_and(passed), false) AS passed, count(*) AS n FROM g",
-    "frozen_thresholds": f"WITH {_CHECKS} SELECT name, round(greatest(0.5, value - 0.05), 3) AS threshold FROM c",
+    "frozen_thresholds": f"WITH {_CHECKS} SELECT name, round(CASE WHEN name IN ('zero_norm', 'non_finite') THEN value + 0.05 ELSE greatest(0.5, value - 0.05) END, 3) AS threshold FROM c",
     "reference_agreement": f"""WITH {M}, {V}, f AS (SELECT site, {_HOUR} AS obs_hour, frame_idx, arg_min(embedding, global_id) AS embedding FROM m JOIN v USING (global_id) WHERE {_OK} AND frame_idx IS NOT NULL GROUP BY 1, 2, 3),
 r AS (SELECT site, obs_hour, frame_idx + CASE WHEN frame_idx > 100 THEN 100000 ELSE 0 END AS frame_idx, embedding AS qv FROM f WHERE obs_hour < '2006010900'),
 j AS (SELECT f.embedding IS NULL AS lost, CASE WHEN f.embedding IS NOT NULL THEN {COS} END AS c FROM r LEFT JOIN f USING (site, obs_hour, frame_idx))
@@ -263,6 +275,9 @@ SELECT count(*) AS n, count(*) FILTER (lost) AS n_missing, avg(c) AS mean_cos, m
     "score_summary": f"""SELECT query_id, count(*) AS n, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.95), 6) AS p95, round(quantile_cont(score, 0.99), 6) AS p99,
 round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max FROM hits WHERE {_FIN} GROUP BY query_id""",
     "speed_ratios": f"SELECT query_id, round(10.0 / quantile_cont(score, 0.5), 5) AS speed_up FROM hits WHERE {_FIN} GROUP BY query_id",
+    "captions": """SELECT hit_id, '#' || coalesce(CAST(hit_rank AS VARCHAR), '-') || '  score ' || printf('%.4f', score) || chr(10) || upper(site) || '  ' || strftime(make_timestamp(time_ns // 1000), '%Y-%m-%d %H:%M:%S') || ' UTC'
+|| chr(10) || coalesce(shard_path, '-') || '  frame ' || coalesce(CAST(frame_idx AS VARCHAR), '-') AS caption FROM hits WHERE score IS NOT NULL AND NOT isnan(score) AND time_ns IS NOT NULL AND site IS NOT NULL""",
+    "paths_digest": "SELECT sha256(string_agg(shard_path, chr(10) ORDER BY shard_path)) AS sha256, count(*) AS n_shards FROM (SELECT DISTINCT shard_path FROM manifest WHERE shard_path IS NOT NULL)",
     "nearest_in_time": f"""WITH {M}, w AS (SELECT DISTINCT {_HSITE} AS site, time_ns + 30000000000 AS want_ns FROM hits WHERE site IS NOT NULL AND time_ns IS NOT NULL),
 t AS (SELECT site, time_ns, arg_min(global_id, (coalesce(frame_idx, -1), global_id)) AS global_id, min(coalesce(frame_idx, -1)) AS frame_idx FROM m WHERE {_OK} GROUP BY 1, 2),
 b AS (SELECT w.site, want_ns, t.global_id, t.frame_idx, abs(t.time_ns - want_ns) AS off_ns FROM w ASOF JOIN t ON w.site = t.site AND t.time_ns <= w.want_ns),

@@ -44,9 +44,11 @@ def search_export(spark, folder):
 
 def search_by_address(spark, folder):
     """The query frame by its address, then the export table."""
-    m, f = manifest(spark, folder), frames(spark, folder)
-    at = f.where("site is not null and time_ns is not null and frame_idx is not null").selectExpr("site", "date_format(timestamp_micros(time_ns div 1000), 'yyyyMMddHH') as h", "frame_idx").orderBy("site", "h", "frame_idx").first()
-    return search.query(m, f, at.site, at.h, at.frame_idx, k=10, diversify_seconds=None)
+    v = usable_vectors(spark, folder)
+    m = stored_manifest(spark, folder)
+    have = m.where("site is not null and time_ns is not null and frame_idx is not null").join(v.select("global_id"), "global_id", "left_semi")
+    at = have.selectExpr("site", "date_format(timestamp_micros(time_ns div 1000), 'yyyyMMddHH') as h", "frame_idx").orderBy("site", "h", "frame_idx").first()
+    return search.query(m, v, at.site, at.h, at.frame_idx, k=10, diversify_seconds=None)
 
 
 def lookup_hits(spark, folder):
@@ -87,6 +89,13 @@ def contrast_stretch(spark, folder):
     return v.select("global_id", F.round(F.array_min("s"), 6).alias("lo"), F.round(F.array_max("s"), 6).alias("hi"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+def masked_stretch(spark, folder):
+    """Each vector as an 8 x 8 image: stretched, then cut to its disc, then at 4 x 4."""
+    v = vectors(spark, folder).select("global_id", vec.disc(vec.stretch("embedding"), 8).alias("d"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5)
+    return v.select("global_id", total("d").alias("total"), F.round(F.col("d")[0], 6).alias("corner"), total(vec.resize("d", 8, 4)).alias("small_total"))
+
+
 def _cells(spark, folder):
     """The vectors by their nearest of 16 stored vectors, those of the lowest keys (cells that SQL can name as well): made once, read by cell."""
     source = f"{folder}/frame_vectors.parquet"
@@ -260,7 +269,7 @@ best AS (SELECT query_id, arg_min(global_id, (-score, global_id)) AS top, max(sc
 QUERIES = {
     f.__name__: f
     for f in (search_exact, search_diversified, search_threshold, search_filtered, search_export, search_by_address, lookup_hits, frames_in_windows, batch_topk, batch_topk_others, self_retrieval,
-              vector_norms, contrast_stretch, ivf_cells, ivf_search, ivf_filtered, ivf_grid, ivf_recall, ivf_score_gap, ivf_pool_recall, ivf_trained, pq_scores, locality, index_search, index_header, index_self_retrieval, index_recall, index_filtered)
+              vector_norms, contrast_stretch, masked_stretch, ivf_cells, ivf_search, ivf_filtered, ivf_grid, ivf_recall, ivf_score_gap, ivf_pool_recall, ivf_trained, pq_scores, locality, index_search, index_header, index_self_retrieval, index_recall, index_filtered)
 }
 SQL = {
     "search_exact": _top_sql("", K),
@@ -290,6 +299,9 @@ SELECT global_id, round(norm, 6) AS norm, round(embedding[1] / norm, 6) AS first
     "contrast_stretch": f"""WITH {V}, p AS (SELECT global_id, embedding, list_aggregate(embedding, 'quantile_cont', 0.01) AS a, list_aggregate(embedding, 'quantile_cont', 0.99) AS b FROM v),
 s AS (SELECT global_id, list_transform(embedding, lambda x: CASE WHEN b > a THEN least(greatest((x - a) / (b - a), 0.0), 1.0) ELSE 0.0 END) AS s FROM p)
 SELECT global_id, round(list_min(s), 6) AS lo, round(list_max(s), 6) AS hi, round(list_sum(s), 5) AS total FROM s""",
+    "masked_stretch": f"""WITH {V}, p AS (SELECT global_id, embedding, list_aggregate(embedding, 'quantile_cont', 0.01) AS a, list_aggregate(embedding, 'quantile_cont', 0.99) AS b FROM v),
+s AS (SELECT global_id, list_transform(range(64), lambda i: CASE WHEN (i % 8 - 3.5) ** 2 + (i // 8 - 3.5) ** 2 <= 16 AND b > a THEN least(greatest((embedding[i + 1] - a) / (b - a), 0.0), 1.0) ELSE 0.0 END) AS d FROM p)
+SELECT global_id, round(list_sum(d), 5) AS total, round(d[1], 6) AS corner, round(list_sum(d) / 4, 5) AS small_total FROM s""",
     "ivf_cells": f"{_CENT} SELECT global_id, cell_id FROM cells",
     "ivf_search": f"""{_PROBED}, pool AS (SELECT global_id, {COS} AS score FROM cells, q WHERE cell_id IN (SELECT cell_id FROM near) ORDER BY score DESC, global_id LIMIT {PREFILTER}),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, global_id) AS n FROM pool JOIN m USING (global_id))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import os
-from collections.abc import Sequence
+import traceback
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,10 +112,92 @@ def spec_files(spec: DataFrame, root: str) -> DataFrame:
     return c.select("name", "site", "datetime", address.url("site", "datetime").alias("url"), address.local_path(root, "site", "datetime").alias("target_path"), "size_bytes", "sha256")
 
 
-def spec_cost(spec: DataFrame, bytes_per_s: float, frames_per_s: float) -> DataFrame:
-    """Seconds to fetch and embed each spec."""
+def spec_cost(spec: DataFrame, bytes_per_s: float, frames_per_s: float, index_base_s: float = 0.0, index_s_per_frame: float = 0.0) -> DataFrame:
+    """Seconds to fetch, embed and index each spec; indexing is linear in the vectors."""
     b = F.aggregate("cdfs", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["size_bytes"], F.lit(0)))
-    return spec.select("name", F.round(b / bytes_per_s, 3).alias("fetch_s"), F.round(F.col("expected_vectors") / frames_per_s, 3).alias("embed_s"))
+    return spec.select("name", F.round(b / bytes_per_s, 3).alias("fetch_s"), F.round(F.col("expected_vectors") / frames_per_s, 3).alias("embed_s"), F.round(F.lit(index_base_s) + F.col("expected_vectors") * F.lit(index_s_per_frame), 3).alias("index_s"))
+
+
+def read_inventory(spark: SparkSession, at: str) -> DataFrame:
+    """A written inventory; lacking columns are an error, further ones are left out."""
+    d = spark.read.parquet(at)
+    names = [c.split()[0] for c in INVENTORY.split(", ")]
+    lacking = set(names) - set(d.columns)
+    if lacking:
+        raise ValueError(f"the inventory lacks {', '.join(sorted(lacking))}")
+    return d.select(*[F.col(n).cast(k).alias(n) for n, k in (c.split() for c in INVENTORY.split(", "))])
+
+
+def write_inventory(inventory: DataFrame, at: str) -> None:
+    """The five columns of an inventory, by site: each job commits as a whole."""
+    names = [c.split()[0] for c in INVENTORY.split(", ")]
+    inventory.select(*names).repartitionByRange("site", "datetime").sortWithinPartitions("site", "datetime", "drive_path").write.mode("overwrite").parquet(at)
+
+
+def write_shards(frames: DataFrame, at: str) -> None:
+    """Frames and their sidecars: ``frames/`` by site and hour, and one sidecar row a shard in ``sidecars/``.
+
+    ``frames(site, obs_hour, frame_idx, time_ns, embedding, source_path, source_sha256)``. Frames are committed
+    before sidecars, so a shard with a sidecar is complete.
+    """
+    write_frames(frames, f"{at}/frames")
+    side = frames.groupBy("site", F.col("obs_hour").alias("datetime")).agg(
+        F.count("*").cast("int").alias("n_frames"), F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "time_ns"))), lambda x: x["time_ns"]).alias("time_ns"),
+        F.min("source_sha256").alias("source_sha256"), F.min("source_path").alias("source_path"))  # a shard is one hour's frames
+    side.write.mode("overwrite").json(f"{at}/sidecars")
+
+
+def discover_shards(spark: SparkSession, at: str) -> DataFrame:
+    """``(ordinal, site, datetime, n_frames, source_path)`` of complete shards, in order of site and hour."""
+    from lodevec.operators.layout import dense_ids
+
+    s = spark.read.schema(SIDECAR).json(f"{at}/sidecars").where("site is not null and datetime is not null")
+    return dense_ids(s.select("site", "datetime", "n_frames", "source_path"), ["site", "datetime", "source_path"], "ordinal")
+
+
+def write_header(spark: SparkSession, shards: DataFrame, at: str, dim: int, path: str = "shard_path") -> dict:
+    """The header of a frame table: shape, type, number of shards and the digest of their ordered paths."""
+    from lodevec.operators.layout import ordered_digest
+
+    n = shards.agg(F.sum("n_frames").alias("n")).first().n or 0
+    h = {"shape": [int(n), dim], "dtype": "float32", "n_shards": shards.select(path).distinct().count(), "shard_paths_sha256": ordered_digest(shards, path)}
+    spark.createDataFrame([(json.dumps(h),)], "value string").coalesce(1).write.mode("overwrite").text(at)
+    return h
+
+
+def read_header(spark: SparkSession, at: str, shards: DataFrame | None = None, path: str = "shard_path") -> dict:
+    """A written header; given the shards, ``ValueError`` if their order or number is not the one it was written for."""
+    from lodevec.operators.layout import ordered_digest
+
+    h = json.loads(spark.read.text(at).first().value)
+    if shards is not None and ordered_digest(shards, path) != h["shard_paths_sha256"]:
+        raise ValueError("the shards are not those of the header")
+    return h
+
+
+def read_files(files: DataFrame, parse: Callable[[str, bytes], list[tuple]], schema: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, failures)`` of binary files ``(path, content)``: a file that can't be parsed fails by itself.
+
+    ``parse(path, content)`` gives tuples of ``schema``; failures are ``(path, exception_type, exception_msg, traceback)``.
+    Works on streams as well (``readStream.format("binaryFile")``).
+    """
+    out = f"path string, row struct<{', '.join(':'.join(c.split(None, 1)) for c in schema.split(', '))}>, exception_type string, exception_msg string, traceback string"
+
+    def run(parts):
+        import pandas as pd
+
+        for d in parts:
+            rows = []
+            for p, c in zip(d["path"], d["content"]):
+                try:
+                    rows += [(p, dict(zip(names, r)), None, None, None) for r in parse(p, bytes(c))]
+                except Exception as e:  # noqa: BLE001 - one file's failure is a row
+                    rows.append((p, None, type(e).__name__, str(e), traceback.format_exc()))
+            yield pd.DataFrame(rows, columns=["path", "row", "exception_type", "exception_msg", "traceback"])
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    d = files.select("path", "content").mapInPandas(run, out)
+    return d.where("exception_type is null").select("path", "row.*"), d.where("exception_type is not null").drop("row")
 
 
 def write_csv(rows: DataFrame, at: str) -> None:
