@@ -45,6 +45,8 @@ SLACK = 0.35
 HALF = vec.DIM // 2
 TILE = 2048
 WALKED = 1 << 20  # steps walked at once
+HELD = 250_000  # candidate pairs held before they are cut to each row's best
+STEP = 1 << 16  # pairs whose vectors are gathered at once
 PAIRS = "src long, dst long, score double"
 
 
@@ -245,9 +247,9 @@ def _top(src, dst, score, k):
     return src[rank < k], dst[rank < k], score[rank < k]
 
 
-def _best_columns(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k best of each row (and what ties with the k-th), at ``floor`` or more."""
-    hit = s >= floor
+def _best_columns(s: np.ndarray, k: int, floor) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best of each row (and what ties with the k-th), at ``floor`` (a number, or one a row) or more."""
+    hit = s >= (floor[:, None] if isinstance(floor, np.ndarray) else floor)
     if s.shape[1] > k:
         many = np.flatnonzero(hit.sum(1) > k)
         if len(many):
@@ -288,6 +290,7 @@ def _score(k: int, min_score: float | None, both: bool):
         who, asked = who[o], asked[o]
         held: list[tuple] = []
         size = 0
+        low = np.full(len(g), floor, np.float32)  # the k-th best score of each row so far
         cells, first = np.unique(c_home[live], return_index=True)
         for c, i, j in zip(cells, first, np.r_[first[1:], len(live)]):
             h = live[i:j]
@@ -299,20 +302,21 @@ def _score(k: int, min_score: float | None, both: bool):
                     s = u[qq] @ u[hh].T
                     if len(hh) and g[hh[0]] <= g[qq].max() and g[qq].min() <= g[hh[-1]]:
                         s[g[qq][:, None] == g[hh][None, :]] = -3
-                    a, b = _best_columns(s, k, floor)
+                    a, b = _best_columns(s, k, low[qq])
                     found = [(qq[a], hh[b])]
                     if both:
-                        b, a = _best_columns(s.T, k, floor)
+                        b, a = _best_columns(s.T, k, low[hh])
                         found.append((hh[b], qq[a]))
                     for a, b in found:
                         if len(a):
                             held.append((a, b))
                             size += len(a)
-                    if size > 2_000_000:
-                        held, size = [_shrink(held, u, g, k)], 0
+                    if size > HELD:
+                        held = [_shrink(held, u, g, k, low)]
+                        size = len(held[0][0]) // 2  # what stays counts half, so that shrinking pays
         if held:
-            a, b = (np.concatenate(z) for z in zip(*[z[:2] for z in held]))
-            sc = vec.cosines(v[a], v[b])
+            a, b = _shrink(held, u, g, k, low)
+            sc = np.concatenate([vec.cosines(v[a[x : x + STEP]], v[b[x : x + STEP]]) for x in range(0, len(a), STEP)]) if len(a) else np.zeros(0)
             ok = np.ones(len(a), bool) if min_score is None else sc >= min_score
             src, dst, sc = _top(g[a[ok]], g[b[ok]], sc[ok], k)
         else:
@@ -323,15 +327,22 @@ def _score(k: int, min_score: float | None, both: bool):
     return run
 
 
-def _shrink(held, u, g, k):
+def _shrink(held, u, g, k, low):
+    """Each row's k best pairs and what ties with them; ``low`` rises to the k-th score where there are k."""
     a, b = (np.concatenate(z) for z in zip(*[z[:2] for z in held]))
-    sc = np.einsum("ij,ij->i", u[a], u[b])
+    sc = np.concatenate([np.einsum("ij,ij->i", u[a[x : x + STEP]], u[b[x : x + STEP]]) for x in range(0, len(a), STEP)]) if len(a) else np.zeros(0, np.float32)
+    o = np.lexsort((-sc, g[b], a))  # an id's best vector stands for it
+    a, b, sc = a[o], b[o], sc[o]
+    one = np.r_[True, (a[1:] != a[:-1]) | (g[b[1:]] != g[b[:-1]])][: len(a)]
+    a, b, sc = a[one], b[one], sc[one]
     o = np.lexsort((g[b], -sc, a))
     a, b, sc = a[o], b[o], sc[o]
-    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
     rank = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
     kth = np.minimum(first + k - 1, np.r_[first[1:], len(a)] - 1)
     keep = (rank < k) | (sc >= np.repeat(sc[kth], np.diff(np.r_[first, len(a)])) - 2e-6)
+    full = np.flatnonzero(np.diff(np.r_[first, len(a)]) >= k)
+    low[a[first[full]]] = np.maximum(low[a[first[full]]], sc[kth[full]] - 4e-6)
     return a[keep], b[keep]
 
 

@@ -24,8 +24,8 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
         "cluster_gid", F.col("n").alias("size"), F.col("t.global_id").alias("typical_gids"))
 
 
-P3_CELLS = 1024
-P3_FOUND_CELLS, P3_FOUND_SLACK = 32, 0.5
+P3_CELLS = 896
+P3_FOUND_CELLS, P3_FOUND_SLACK = 8, 0.35
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
