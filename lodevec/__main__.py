@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.what == "query":
         options = dict(k=a.results, min_score=a.min_score, diversify_seconds=a.diversify)
         if a.exact:
-            hits = search.query(manifest, frames.usable_vectors(spark, a.data), a.site, a.hour, a.frame, **options)
+            hits = search.query(manifest, frames.stored_vectors(spark, a.data), a.site, a.hour, a.frame, **options)
         else:
             hits = engine.query(spark, a.data, a.site, a.hour, a.frame, at=a.index, nprobe=a.nprobe, prefilter=a.prefilter, **options)
         archive.write_csv(hits, a.csv) if a.csv else hits.show(a.results, truncate=False)

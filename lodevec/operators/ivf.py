@@ -128,7 +128,7 @@ def filtered_search(cells: DataFrame, centroids: DataFrame, manifest: DataFrame,
     total = centroids.count()
     for m in dict.fromkeys((nprobe, min(total, ESCALATE * nprobe))):
         log.append(f"probe {m}")
-        pool = S.scored(rows(probe(cells, centroids, query, m)), query).select(*S.ATTRIBUTES).distinct().orderBy(F.desc("score"), "global_id").limit(prefilter)
+        pool = S.top(rows(probe(cells, centroids, query, m)).distinct(), query, prefilter).select(*S.ATTRIBUTES)
         if pool.limit(1).count():
             limit = k if options.get("min_score") is None else S.MOST_HITS
             if options.get("min_score") is not None:

@@ -9,23 +9,28 @@ from pyspark.sql import functions as F
 def nearest_frame(wanted: DataFrame, frames: DataFrame, keys: list[str], bucket_ns: int = 3_600_000_000_000) -> DataFrame:
     """For each wanted ``(*keys, want_ns)`` the frame nearest in time, before or after; ties: lower frame, then id.
 
-    Frames are kept as the first and last of each time bucket besides those in the bucket itself, so a wanted
-    time meets its own bucket's frames and one frame on either side, however many frames a key has.
+    Frames and wanted times of a time bucket walk in order together, once up and once down; no pairs are made. What
+    lies outside the bucket is one frame on either side: the ends of the nearest filled buckets, found by a walk over buckets.
     """
-    f = frames.where("time_ns is not null").select(*keys, "time_ns", "frame_idx", "global_id").withColumn("b", F.expr(f"time_ns div {bucket_ns}L"))
-    ends = f.groupBy(*keys, "b").agg(F.min(F.struct("time_ns", "frame_idx", "global_id")).alias("lo"), F.max(F.struct("time_ns", F.negate("frame_idx").alias("nf"), F.negate("global_id").alias("ng"))).alias("hi"))
+    c = F.struct("time_ns", "frame_idx", "global_id")
+    f = frames.where("time_ns is not null").groupBy(*keys, "time_ns").agg(F.min(F.struct("frame_idx", "global_id")).alias("x"))
+    f = f.select(*keys, "time_ns", "x.frame_idx", "x.global_id").withColumn("b", F.expr(f"time_ns div {bucket_ns}L"))
     w = wanted.select(*keys, "want_ns").distinct().withColumn("b", F.expr(f"want_ns div {bucket_ns}L"))
-    # nearest filled bucket before and after: buckets of both sides in one ordered walk
-    marks = ends.select(*keys, "b", "lo", "hi", F.lit(None).cast("long").alias("want_ns")).unionByName(w.select(*keys, "b", F.lit(None).cast("struct<time_ns:bigint,frame_idx:int,global_id:bigint>").alias("lo"), F.lit(None).cast(ends.schema["hi"].dataType).alias("hi"), "want_ns"))
-    order = Window.partitionBy(*keys).orderBy("b")
-    before = F.last("hi", True).over(order.rangeBetween(Window.unboundedPreceding, -1))
-    after = F.first("lo", True).over(order.rangeBetween(1, Window.unboundedFollowing))
-    sides = marks.withColumn("p", before).withColumn("n", after).where("want_ns is not null")
-    near = F.array(F.struct("p.time_ns", F.negate("p.nf").alias("frame_idx"), F.negate("p.ng").alias("global_id")), F.struct("n.time_ns", "n.frame_idx", "n.global_id"))
-    far = sides.select(*keys, "want_ns", F.explode(near).alias("c")).where("c.time_ns is not null").select(*keys, "want_ns", "c.*")
-    own = w.join(f, [*keys, "b"]).select(*keys, "want_ns", "time_ns", "frame_idx", "global_id")
-    best = F.min(F.struct(F.abs(F.col("time_ns") - F.col("want_ns")).alias("off"), "frame_idx", "global_id", "time_ns")).alias("c")
-    return own.unionByName(far).groupBy(*keys, "want_ns").agg(best).select(*keys, "want_ns", "c.global_id", "c.frame_idx", "c.time_ns", F.col("c.off").alias("off_ns"))
+    none = F.lit(None)
+    kind = "struct<time_ns:bigint,frame_idx:int,global_id:bigint>"
+    # inside the bucket
+    both = f.select(*keys, "b", F.col("time_ns").alias("t"), c.alias("c"), none.cast("long").alias("want_ns")).unionByName(w.select(*keys, "b", F.col("want_ns").alias("t"), none.cast(kind).alias("c"), "want_ns"))
+    so_far = lambda *order: Window.partitionBy(*keys, "b").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("lo", F.last("c", True).over(so_far("t"))).withColumn("hi", F.last("c", True).over(so_far(F.desc("t")))).where("want_ns is not null")
+    # nearest filled bucket before and after: a row for each bucket, filled or asked for
+    ends = f.groupBy(*keys, "b").agg(F.min_by(c, "time_ns").alias("first"), F.max_by(c, "time_ns").alias("last"))
+    marks = ends.unionByName(w.select(*keys, "b").distinct(), True).groupBy(*keys, "b").agg(F.first("first", True).alias("first"), F.first("last", True).alias("last"))
+    others = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sides = marks.select(*keys, "b", F.last("last", True).over(others("b")).alias("p"), F.last("first", True).over(others(F.desc("b"))).alias("n"))
+    off = lambda x: F.when(x.isNotNull(), F.struct(F.abs(x["time_ns"] - F.col("want_ns")).alias("off"), x["frame_idx"].alias("frame_idx"), x["global_id"].alias("global_id"), x["time_ns"].alias("time_ns")))
+    best = F.least(*[off(F.col(x)) for x in ("lo", "hi", "p", "n")])
+    d = near.join(sides, [*keys, "b"]).withColumn("x", best).where("x is not null")
+    return d.select(*keys, "want_ns", "x.global_id", "x.frame_idx", "x.time_ns", F.col("x.off").alias("off_ns"))
 
 
 def align(shards: DataFrame, rows: DataFrame, longest_gap: int = 1024) -> DataFrame:

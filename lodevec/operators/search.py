@@ -1,8 +1,8 @@
 """Exact and two-stage search of frames by cosine.
 
-One query vector is a constant in the projection: scan, filter, score and top-k run in one stage per
-partition and one merge (``TakeOrderedAndProject``). Many queries go as a matrix (of bounded size)
-through Arrow batches with a partial top-k per batch. Scores are rounded to six digits, ties go to
+Arrow batches are scored as matrices and a task sends on its best rows only (``TakeOrderedAndProject`` merges them): the
+product of a row costs far less there than as a native array expression, which walks its numbers one by one. Many
+queries go as a matrix (of bounded size) with a running top-k in each task. Scores are rounded to six digits, ties go to
 the lower id, NaN never ranks.
 
 Modes: ``min_score`` set - all hits at or above it, at most ``MOST_HITS``; else the best ``k``. With
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lodevec.functions import vector as V
 from lodevec.functions import when
+from lodevec.functions.arrays import scores, usable_rows
 from lodevec.functions.address import parse_hour, url
 from lodevec.operators.filters import select
 from lodevec.session import stage
@@ -37,14 +38,48 @@ def ranked(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def scored(frames: DataFrame, query) -> DataFrame:
-    return frames.withColumn("score", V.score_to("embedding", query)).where(~F.isnan("score"))
+    """The frames that have a usable vector, with their score."""
+    return frames.where(V.usable("embedding", len(query))).withColumn("score", V.score_to("embedding", query))
 
 
-def top(frames: DataFrame, query, k: int) -> DataFrame:
-    """The k best, without ranks: scan, score, take ordered."""
+def _best_rows(held, k: int, least: float | None, names: list[str]):
+    def run(batches):
+        query = held
+        best = None
+        for b in batches:
+            rows, x = usable_rows(b, len(query))
+            if not len(rows):
+                continue
+            s = scores(x, query)
+            keep = np.ones(len(s), bool) if least is None else s >= least
+            if best is not None and best.num_rows >= k:
+                keep &= s >= floor  # noqa: F821 - set with best
+            rows, s = rows[keep], s[keep]
+            if not len(rows):
+                continue
+            new = pa.Table.from_batches([b.select(names)]).take(pa.array(rows)).append_column("score", pa.array(s))
+            best = new if best is None else pa.concat_tables([best, new])
+            if best.num_rows > k:
+                best = best.take(pa.array(np.lexsort((best["global_id"].to_numpy(), -best["score"].to_numpy()))[:k])).combine_chunks()
+            floor = float(np.min(best["score"].to_numpy()))
+        if best is not None:
+            yield from best.to_batches()
+
+    return run
+
+
+def top(frames: DataFrame, query, k: int, min_score: float | None = None) -> DataFrame:
+    """The k best rows with their score, unusable vectors left out; the other columns stay, without the vector.
+
+    Arrow batches are scored as matrices; a task sends on its k best rows only.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
-    return scored(frames, query).orderBy(F.desc("score"), "global_id").limit(k)
+    names = [c for c in frames.columns if c != "embedding"]
+    q = np.asarray(query, np.float64)
+    q = q / (np.sqrt((q * q).sum()) or 1.0)
+    schema = ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in names) + ", score double"
+    return frames.mapInArrow(_best_rows(q, k, min_score, names), schema).orderBy(F.desc("score"), "global_id").limit(k)
 
 
 def diversify(candidates: DataFrame, seconds: float | None, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -65,18 +100,21 @@ def diversify(candidates: DataFrame, seconds: float | None, limit: int, by: tupl
     return out.select(*by, (F.col("p") + 1).alias("rank"), *[F.col(f"h.{c}").alias(c) for c in ATTRIBUTES])
 
 
-def _paged(found: DataFrame, limit: int, seconds: float | None, kept: list[tuple] = [], after=None) -> DataFrame:  # noqa: B006
+def _paged(frames: DataFrame, query, min_score: float | None, limit: int, seconds: float | None, kept: list[tuple] = [], after=None) -> DataFrame:  # noqa: B006
     """The ranked list in pages of bounded size, each folded with what is kept so far.
 
     From the second page on, hits that a kept one suppresses are left out before ranking, so every page brings new
     ones or ends the list, however many a crowded site has.
     """
-    spark = found.sparkSession
+    spark = frames.sparkSession
     take = max(512, 4 * limit)
-    schema = found.select(*ATTRIBUTES).schema
+    columns = [c for c in ATTRIBUTES if c != "score"]
+    frames = frames.select(*columns, "embedding")
+    schema = "global_id long, score double, site string, time_ns long, shard_path string, frame_idx int"
     while True:
-        f = found.select(*ATTRIBUTES)
+        f = top(frames, query, take, min_score).select(*ATTRIBUTES)
         if after is not None:
+            f = _above(scored(frames, query), min_score).select(*ATTRIBUTES)
             s, g = F.lit(after.score), F.lit(after.global_id)
             f = f.where((F.col("score") < s) | ((F.col("score") == s) & (F.col("global_id") >= g))).distinct()
             if seconds is not None and kept:
@@ -113,8 +151,7 @@ def search(frames: DataFrame, query, k: int = 24, min_score: float | None = None
     Filters and scores come before anything is shuffled. The result is that of the whole ranked list.
     """
     _check(query, k)
-    found = _above(scored(select(frames, sites, windows), query), min_score)
-    return _paged(found, k if min_score is None else most_hits, diversify_seconds)
+    return _paged(select(frames, sites, windows), query, min_score, k if min_score is None else most_hits, diversify_seconds)
 
 
 def search_split(manifest: DataFrame, vectors: DataFrame, query, k: int = 24, min_score: float | None = None, diversify_seconds: float | None = 30, most_hits: int = MOST_HITS) -> DataFrame:
@@ -128,7 +165,7 @@ def search_split(manifest: DataFrame, vectors: DataFrame, query, k: int = 24, mi
     spark = manifest.sparkSession
     limit = k if min_score is None else most_hits
     take = max(512, 4 * limit)
-    got = _above(scored(vectors, query), min_score).select("global_id", "score").orderBy(F.desc("score"), "global_id").limit(take).collect()
+    got = top(vectors.select("global_id", "embedding"), query, take, min_score).collect()
     best = spark.createDataFrame(list(dict.fromkeys(map(tuple, got))), "global_id long, score double")
     out = diversify(manifest.join(F.broadcast(best), "global_id").select(*ATTRIBUTES).distinct(), diversify_seconds, limit).select("rank", *ATTRIBUTES)
     if len(got) < take:
@@ -136,8 +173,7 @@ def search_split(manifest: DataFrame, vectors: DataFrame, query, k: int = 24, mi
     done = out.collect()  # at most ``limit`` rows
     if len(done) >= limit:
         return spark.createDataFrame(done, out.schema)
-    rest = _above(scored(manifest.join(vectors, "global_id"), query), min_score)
-    return _paged(rest, limit, diversify_seconds, [tuple(r)[1:] for r in done], got[-1])
+    return _paged(manifest.join(vectors.select("global_id", "embedding"), "global_id"), query, min_score, limit, diversify_seconds, [tuple(r)[1:] for r in done], got[-1])
 
 
 def export(hits: DataFrame) -> DataFrame:

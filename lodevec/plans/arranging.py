@@ -275,7 +275,7 @@ SELECT count(*) AS n, count(*) FILTER (lost) AS n_missing, avg(c) AS mean_cos, m
     "score_summary": f"""SELECT query_id, count(*) AS n, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.95), 6) AS p95, round(quantile_cont(score, 0.99), 6) AS p99,
 round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max FROM hits WHERE {_FIN} GROUP BY query_id""",
     "speed_ratios": f"SELECT query_id, round(10.0 / quantile_cont(score, 0.5), 5) AS speed_up FROM hits WHERE {_FIN} GROUP BY query_id",
-    "captions": """SELECT hit_id, '#' || coalesce(CAST(hit_rank AS VARCHAR), '-') || '  score ' || printf('%.4f', score) || chr(10) || upper(site) || '  ' || strftime(make_timestamp(time_ns // 1000), '%Y-%m-%d %H:%M:%S') || ' UTC'
+    "captions": """SELECT hit_id, '#' || coalesce(CAST(hit_rank AS VARCHAR), '-') || '  score ' || CAST(CAST(CAST(score AS DECIMAL(20,8)) AS DECIMAL(18,4)) AS VARCHAR) || chr(10) || upper(site) || '  ' || strftime(make_timestamp(time_ns // 1000), '%Y-%m-%d %H:%M:%S') || ' UTC'
 || chr(10) || coalesce(shard_path, '-') || '  frame ' || coalesce(CAST(frame_idx AS VARCHAR), '-') AS caption FROM hits WHERE score IS NOT NULL AND NOT isnan(score) AND time_ns IS NOT NULL AND site IS NOT NULL""",
     "paths_digest": "SELECT sha256(string_agg(shard_path, chr(10) ORDER BY shard_path)) AS sha256, count(*) AS n_shards FROM (SELECT DISTINCT shard_path FROM manifest WHERE shard_path IS NOT NULL)",
     "nearest_in_time": f"""WITH {M}, w AS (SELECT DISTINCT {_HSITE} AS site, time_ns + 30000000000 AS want_ns FROM hits WHERE site IS NOT NULL AND time_ns IS NOT NULL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodevec.functions.vector import usable
 from lodevec.sources import frames as src
 from lodevec.sources.tables import table
 
@@ -30,8 +31,14 @@ def frames(spark, folder):
 
 
 def first_query(vecs):
-    """The first frame's vector."""
-    return vecs.select("global_id", "embedding").orderBy("global_id", "embedding").first().embedding
+    """The usable vector of the lowest id, of vectors as they are stored."""
+    v = vecs.select("global_id", "embedding")
+    low = v.orderBy("global_id", "embedding").limit(64).where(usable("embedding")).orderBy("global_id", "embedding").first()  # usually among the first
+    return (low or v.where(usable("embedding")).orderBy("global_id", "embedding").first()).embedding
+
+
+def stored_vectors(spark, folder):
+    return src.stored_vectors(spark, folder)
 
 
 def usable_vectors(spark, folder):
@@ -53,4 +60,4 @@ def query_set(vecs):
 
 QSET = "qs AS (SELECT global_id AS query_id, embedding AS qv FROM v WHERE global_id % 50 = 0)"
 
-__all__ = ["COS", "M", "Q", "QSET", "SITE", "UTC", "V", "first_query", "frames", "manifest", "query_set", "stored_frames", "stored_manifest", "table", "usable_vectors", "vectors"]
+__all__ = ["COS", "M", "Q", "QSET", "SITE", "UTC", "V", "first_query", "frames", "manifest", "query_set", "stored_frames", "stored_manifest", "stored_vectors", "table", "usable_vectors", "vectors"]

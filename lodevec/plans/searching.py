@@ -9,7 +9,7 @@ from lodevec.functions import vector as vec
 from lodevec import engine
 from lodevec.operators import ivf, metrics, sample, search, validate
 from lodevec.operators.filters import in_windows
-from lodevec.plans.common import COS, QSET, M, Q, V, first_query, frames, manifest, query_set, stored_frames, stored_manifest, table, usable_vectors, vectors
+from lodevec.plans.common import COS, QSET, M, Q, V, first_query, frames, manifest, query_set, stored_frames, stored_manifest, stored_vectors, table, usable_vectors, vectors
 
 SITES = ["brqu", "dovr", "fjoa"]
 WINDOWS = [(1136073600000000000, 1137283199999999999), (1138752000000000000, 1139961599999999999)]  # two fortnights of 2006
@@ -19,23 +19,23 @@ CELLS, PROBE, PREFILTER, K = 16, 4, 500, 24
 
 
 def search_exact(spark, folder):
-    v = usable_vectors(spark, folder)
+    v = stored_vectors(spark, folder)
     return search.search_split(stored_manifest(spark, folder), v, first_query(v), k=K, diversify_seconds=None)
 
 
 def search_diversified(spark, folder):
-    v = usable_vectors(spark, folder)
+    v = stored_vectors(spark, folder)
     return search.search_split(stored_manifest(spark, folder), v, first_query(v), k=K, diversify_seconds=30)
 
 
 def search_threshold(spark, folder):
-    v = usable_vectors(spark, folder)
+    v = stored_vectors(spark, folder)
     return search.search_split(stored_manifest(spark, folder), v, first_query(v), min_score=0.3, diversify_seconds=None)
 
 
 def search_filtered(spark, folder):
     f = stored_frames(spark, folder)
-    return search.search(f, first_query(usable_vectors(spark, folder)), k=K, diversify_seconds=3600, sites=SITES, windows=WINDOWS)
+    return search.search(f, first_query(stored_vectors(spark, folder)), k=K, diversify_seconds=3600, sites=SITES, windows=WINDOWS)
 
 
 def search_export(spark, folder):
@@ -44,9 +44,9 @@ def search_export(spark, folder):
 
 def search_by_address(spark, folder):
     """The query frame by its address, then the export table."""
-    v = usable_vectors(spark, folder)
+    v = stored_vectors(spark, folder)
     m = stored_manifest(spark, folder)
-    have = m.where("site is not null and time_ns is not null and frame_idx is not null").join(v.select("global_id"), "global_id", "left_semi")
+    have = m.where("site is not null and time_ns is not null and frame_idx is not null").join(usable_vectors(spark, folder).select("global_id"), "global_id", "left_semi")
     at = have.selectExpr("site", "date_format(timestamp_micros(time_ns div 1000), 'yyyyMMddHH') as h", "frame_idx").orderBy("site", "h", "frame_idx").first()
     return search.query(m, v, at.site, at.h, at.frame_idx, k=10, diversify_seconds=None)
 
@@ -115,13 +115,13 @@ def ivf_cells(spark, folder):
 
 def ivf_search(spark, folder):
     cells, c = _cells(spark, folder)
-    return ivf.search(cells, c, stored_manifest(spark, folder), first_query(usable_vectors(spark, folder)), k=K, nprobe=PROBE, prefilter=PREFILTER, diversify_seconds=None)
+    return ivf.search(cells, c, stored_manifest(spark, folder), first_query(stored_vectors(spark, folder)), k=K, nprobe=PROBE, prefilter=PREFILTER, diversify_seconds=None)
 
 
 def ivf_filtered(spark, folder):
     """A filtered subset above the exact limit: probed within the filter."""
     cells, c = _cells(spark, folder)
-    return ivf.filtered_search(cells, c, stored_manifest(spark, folder), first_query(usable_vectors(spark, folder)), k=K, nprobe=PROBE, prefilter=PREFILTER, sites=SITES, windows=WINDOWS, exact_rows=0, diversify_seconds=None)
+    return ivf.filtered_search(cells, c, stored_manifest(spark, folder), first_query(stored_vectors(spark, folder)), k=K, nprobe=PROBE, prefilter=PREFILTER, sites=SITES, windows=WINDOWS, exact_rows=0, diversify_seconds=None)
 
 
 def _grid(spark, folder):
@@ -176,7 +176,7 @@ def _books(v):
 def pq_scores(spark, folder):
     v = vectors(spark, folder)
     b = _books(v)
-    return ivf.code_scores(ivf.encode(v, b), b, first_query(v))
+    return ivf.code_scores(ivf.encode(v, b), b, first_query(stored_vectors(spark, folder)))
 
 
 def locality(spark, folder):
@@ -186,7 +186,7 @@ def locality(spark, folder):
 
 def index_search(spark, folder):
     """The written index, by codes and then exactly."""
-    return engine.index(spark, folder).search(stored_manifest(spark, folder), first_query(usable_vectors(spark, folder)), k=K, nprobe=64, prefilter=PREFILTER, diversify_seconds=30)
+    return engine.index(spark, folder).search(stored_manifest(spark, folder), first_query(stored_vectors(spark, folder)), k=K, nprobe=64, prefilter=PREFILTER, diversify_seconds=30)
 
 
 def index_header(spark, folder):
@@ -218,7 +218,7 @@ def index_recall(spark, folder):
 
 def index_filtered(spark, folder):
     """A filtered search through the index that is small enough to be scanned exactly."""
-    return engine.index(spark, folder).search(stored_manifest(spark, folder), first_query(usable_vectors(spark, folder)), k=K, sites=SITES, windows=WINDOWS, diversify_seconds=3600)
+    return engine.index(spark, folder).search(stored_manifest(spark, folder), first_query(stored_vectors(spark, folder)), k=K, sites=SITES, windows=WINDOWS, diversify_seconds=3600)
 
 
 _RANK = "row_number() OVER (ORDER BY score DESC, global_id)"

@@ -24,9 +24,14 @@ def stored_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("global_id", code("site").alias("site"), "time_ns", "shard_path", "frame_idx")
 
 
+def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as they are stored, usable or not."""
+    return table(spark, folder, "frame_vectors").where("global_id is not null").select("global_id", "embedding")
+
+
 def stored_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """:func:`frames` with repeats."""
-    return stored_manifest(spark, folder).join(usable_vectors(spark, folder), "global_id")
+    """Manifest rows with their vectors as they are stored: repeats and unusable vectors too."""
+    return stored_manifest(spark, folder).join(stored_vectors(spark, folder), "global_id")
 
 
 def usable_vectors(spark: SparkSession, folder: str, dim: int = 64) -> DataFrame:
@@ -47,7 +52,7 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def query_vector(vecs: DataFrame, global_id: int) -> list[float]:
     """The stored vector of one frame; nothing is embedded anew."""
-    row = vecs.where(F.col("global_id") == F.lit(global_id).cast("long")).select("embedding").orderBy("embedding").first()
+    row = vecs.where((F.col("global_id") == F.lit(global_id).cast("long")) & usable("embedding")).select("embedding").orderBy("embedding").first()
     if row is None:
         raise KeyError(f"frame {global_id} has no usable vector")
     return row.embedding

@@ -42,4 +42,4 @@ def test_plans_push_down_and_prune(spark, tiny):
     assert "GreaterThanOrEqual(time_ns,5)" in plan and "shard_path" not in plan.split("ReadSchema")[1]
     v = table(spark, tiny, "frame_vectors")
     plan = search.top(v, [1.0] * 64, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan and "Python" not in plan
+    assert "TakeOrderedAndProject" in plan and "ArrowInPandas" not in plan and "MapInArrow" in plan and "Exchange" not in plan
