@@ -6,7 +6,7 @@ is bounded. ``rows(cell_block, cell_id, global_id, codes, embedding)`` is partit
 cell and id inside, so a probe reads the folders and row groups of its cells only.
 
 A search scores the probed rows from their codes (``q . centroid`` plus a table of products per part), keeps the best
-``prefilter`` of them and ranks those by exact cosine. The scores of codes are native expressions on constant tables.
+``prefilter`` of them and ranks those by exact cosine; a task sends on its best rows only.
 
 Training: ``PER_CELL`` vectors a cell, stratified where strata are given, for the centroids; at most ``FIT_CODES`` residuals
 for rotation and codebooks, which are fitted in turn (codebooks by k-means, the rotation by Procrustes).
@@ -19,10 +19,11 @@ import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import vector as V
+from lodevec.functions.arrays import scores
 from lodevec.operators import ivf, sample
 from lodevec.operators import search as S
 from lodevec.operators.filters import predicate
@@ -137,10 +138,28 @@ def build(vectors: DataFrame, at: str, cells: int | None = None, strata: DataFra
     return Index(spark, at)
 
 
-def _table(x: np.ndarray) -> Column:
-    """A constant (nested) array: one literal to the planner, however long."""
-    kind = "array<array<double>>" if x.ndim == 2 else "array<double>"
-    return F.from_json(F.lit(json.dumps(np.round(x.astype(np.float64), 7).tolist())), kind)
+def _probed(query: np.ndarray, lut: np.ndarray, cell_scores: np.ndarray, prefilter: int):
+    """The best ``prefilter`` rows of a task by their codes, with the exact score where the vector is read as well."""
+
+    def run(batches):
+        best: tuple | None = None
+        parts = len(lut)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column("codes").flatten().to_numpy().reshape(b.num_rows, parts)
+            cell, g = b.column("cell_id").to_numpy(), b.column("global_id").to_numpy()
+            near = np.round(cell_scores[cell] + lut[np.arange(parts), codes].sum(1), V.DIGITS)
+            keep = np.lexsort((g, -near))[:prefilter]
+            exact = scores(b.column("embedding").take(pa.array(keep)).flatten().to_numpy().reshape(len(keep), -1), query) if "embedding" in b.schema.names else np.zeros(len(keep))
+            new = (g[keep], cell[keep], near[keep], exact)
+            best = new if best is None else tuple(np.concatenate(x) for x in zip(best, new))
+            o = np.lexsort((best[0], -best[2]))[:prefilter]
+            best = tuple(x[o] for x in best)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["global_id", "cell_id", "approx", "score"])
+
+    return run
 
 
 class Index:
@@ -176,14 +195,12 @@ class Index:
         blocks = np.unique(cells // self.header["per_block"])
         return self.rows.where(F.expr(f"cell_block in ({','.join(map(str, blocks))}) and cell_id in ({','.join(map(str, cells))})"))
 
-    def approximate(self, query) -> Column:
-        """The score that a row's cell and codes give."""
+    def by_codes(self, rows: DataFrame, query, prefilter: int) -> DataFrame:
+        """``(global_id, cell_id, approx, score)``: the best rows by what their cell and codes give; ``score`` is exact if the rows have vectors."""
         q = self._unit(query)
         lut = np.einsum("mcw,mw->mc", self.books, (q @ self.rotation).reshape(self.header["parts"], -1))
-        total = F.get(_table(self.centroids @ q), F.col("cell_id"))
-        for m in range(self.header["parts"]):
-            total = total + F.get(_table(lut[m]), F.get("codes", F.lit(m)).cast("int"))
-        return total
+        best = rows.mapInArrow(_probed(q, lut, self.centroids @ q, prefilter), "global_id long, cell_id int, approx double, score double")
+        return best.orderBy(F.desc("approx"), "global_id").limit(prefilter)
 
     def pool(self, query, nprobe: int = 64, prefilter: int = 500, within: DataFrame | None = None) -> DataFrame:
         """``(global_id, score)``: the best ``prefilter`` rows of the probe by their codes, with exact scores.
@@ -194,13 +211,11 @@ class Index:
         near = self.probe(query, nprobe)
         if within is not None:
             near = near.join(within.select("global_id"), "global_id", "left_semi")
-        order = [F.desc(F.round("approx", V.DIGITS)), F.col("global_id")]
         if self.header["n"] * min(1.0, nprobe / self.header["cells"]) <= ONE_SCAN_ROWS:
-            best = near.select("global_id", "embedding", self.approximate(query).alias("approx")).orderBy(*order).limit(prefilter)
-        else:
-            first = near.select("cell_id", "global_id", self.approximate(query).alias("approx")).orderBy(*order).limit(prefilter)
-            best = self.probe(query, nprobe).join(F.broadcast(first), ["cell_id", "global_id"])  # at most prefilter rows
-        return best.select("global_id", V.score_to("embedding", query).alias("score"))
+            return self.by_codes(near.select("cell_id", "global_id", "codes", "embedding"), query, prefilter).select("global_id", "score")
+        first = self.by_codes(near.select("cell_id", "global_id", "codes"), query, prefilter).select("cell_id", "global_id")
+        best = self.probe(query, nprobe).join(F.broadcast(first), ["cell_id", "global_id"])  # at most prefilter rows
+        return S.top(best.select("global_id", "embedding"), query, prefilter)
 
     def search(self, manifest: DataFrame, query, k: int = 24, nprobe: int = 64, prefilter: int = 500, min_score: float | None = None, diversify_seconds: float | None = 30, sites=None, windows=None, exact_rows: int = ivf.EXACT_ROWS, log: list | None = None) -> DataFrame:
         """``(rank, global_id, score, site, time_ns, shard_path, frame_idx)``; ``manifest`` may hold rows twice.
@@ -228,7 +243,8 @@ class Index:
         return S.search_split(m, self.rows.select("global_id", "embedding"), query, k, min_score, diversify_seconds)
 
     def _answer(self, manifest: DataFrame, pool: DataFrame, k: int, min_score: float | None, diversify_seconds: float | None) -> DataFrame:
-        hits = manifest.join(F.broadcast(pool.distinct()), "global_id").select(*S.ATTRIBUTES).distinct()  # at most prefilter ids
+        # at most prefilter ids; in one partition, cleaning and ranking need no further shuffle
+        hits = manifest.join(F.broadcast(pool), "global_id").select(*S.ATTRIBUTES).repartition(1).distinct()
         if min_score is not None:
             hits = hits.where(F.col("score") >= F.lit(float(min_score)))
         return S.diversify(hits, diversify_seconds, k if min_score is None else S.MOST_HITS).select("rank", *S.ATTRIBUTES)
@@ -265,7 +281,7 @@ class Index:
     def stages(self, manifest: DataFrame, query, nprobe: int = 64, prefilter: int = 500, k: int = 24) -> dict[str, float]:
         """Seconds of one search's stages: ``probe`` (codes of the near cells), ``rerank`` (exact scores of the best), ``attributes``, ``total``."""
         t = [time.perf_counter()]
-        self.probe(query, nprobe).select(self.approximate(query).alias("a")).agg(F.max("a")).first()
+        self.by_codes(self.probe(query, nprobe).select("cell_id", "global_id", "codes"), query, prefilter).collect()
         t.append(time.perf_counter())
         pool = self.pool(query, nprobe, prefilter).collect()
         t.append(time.perf_counter())

@@ -56,14 +56,14 @@ def test_probe_prunes_folders_and_cells(data, built, monkeypatch):
     q = data[3][7].tolist()
     plan = built.probe(q, 2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell_block" in plan and "cell_id" in plan.split("PushedFilters")[1]
-    assert "embedding" not in built.probe(q, 2).select("global_id", built.approximate(q))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert "embedding" not in built.by_codes(built.probe(q, 2).select("cell_id", "global_id", "codes"), q, 5)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
 def test_scores_of_codes_and_both_ways_of_reading(data, built, monkeypatch):
     _, v, m, x = data
     q = x[7].tolist()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    got = {r.global_id: r.a for r in built.rows.select("global_id", built.approximate(q).alias("a")).collect()}
+    got = {r.global_id: r.approx for r in built.by_codes(built.rows, q, 2000).collect()}
     off = np.array([got[i] for i in range(1200)]) - u @ u[7]
     assert np.abs(off).mean() < 0.08
     one = built.pool(q, 20, 50).orderBy(F.desc("score"), "global_id").collect()
