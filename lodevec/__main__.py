@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ def arguments() -> argparse.ArgumentParser:
         x.add_argument("--index", default=None, help="folder of the index; by default one is kept for each state of the data")
         x.add_argument("--nprobe", type=int, default=64)
         x.add_argument("--prefilter", type=int, default=500)
+    b.add_argument("--out", dest="index", help="the same as --index")
     b.add_argument("--cells", type=int)
     q.add_argument("site")
     q.add_argument("hour")
@@ -34,7 +36,7 @@ def arguments() -> argparse.ArgumentParser:
     v.add_argument("--no-index", action="store_true", help="only what needs no index")
     v.add_argument("--json", help="folder for the report")
     m.add_argument("--queries", type=int, default=10)
-    m.add_argument("--out", default=f"{places.artifacts}/bench")
+    m.add_argument("--out", help="folder of the truth and the report; the shared folder by default")
     c, d = one("crawl", "list the image files below seed pages"), one("download", "fetch the files of a work-list")
     c.add_argument("seeds", nargs="+")
     c.add_argument("--state", default=f"{places.artifacts}/crawl", help="folder of the crawl's levels; a stopped crawl goes on from it")
@@ -54,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from lodevec import engine
     from lodevec.operators import report, search
-    from lodevec.session import build_session
+    from lodevec.session import build_session, shared_folder
     from lodevec.sources import archive, frames, web
     from lodevec.sources.tables import table
 
@@ -73,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     manifest = frames.stored_manifest(spark, a.data)
     if a.what == "build":
         options = {"cells": a.cells} if a.cells else {}
-        print(json.dumps(engine.index(spark, a.data, a.index, **options).header))
+        print(json.dumps(engine.index(spark, a.data, a.index, rebuild=True, **options).header))
     elif a.what == "query":
         options = dict(k=a.results, min_score=a.min_score, diversify_seconds=a.diversify)
         if a.exact:
@@ -94,7 +96,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if verdict["passed"] else 1
     else:
         vecs = frames.usable_vectors(spark, a.data)
-        print(report.report_text(report.benchmark(spark, manifest, vecs, engine.index(spark, a.data, a.index), a.out, a.queries, points=((8, 100), (a.nprobe, a.prefilter)))))
+        print(report.report_text(report.benchmark(spark, manifest, vecs, engine.index(spark, a.data, a.index), a.out or f"{shared_folder(spark)}/lodevec/bench-{uuid.uuid4().hex}", a.queries, points=((8, 100), (a.nprobe, a.prefilter)))))
     return 0
 
 

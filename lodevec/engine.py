@@ -56,22 +56,26 @@ def derived(spark: SparkSession, name: str, sources: list[str], make: Callable[[
     return spark.read.parquet(at)
 
 
-def index(spark: SparkSession, folder: str, at: str | None = None, **options) -> Index:
-    """The index of a data folder: opened if it stands for these vectors (at ``at``, if given), built otherwise."""
-    code = stamp(spark, f"{folder}/frame_vectors.parquet", version=f"{FORMAT}:{sorted(options.items())}")
-    key = (folder, at, code)
-    if key in _open and _open[key].spark is spark:
+def index(spark: SparkSession, folder: str, at: str | None = None, rebuild: bool = False, **options) -> Index:
+    """The index of a data folder, kept in the shared folder for each state of its vectors, or at ``at``.
+
+    One at ``at`` that was built for other vectors is refused, not replaced, unless ``rebuild`` says so.
+    """
+    source = stamp(spark, f"{folder}/frame_vectors.parquet", version=str(FORMAT))
+    key = (folder, at, source, tuple(sorted(options.items())))
+    if not rebuild and key in _open and _open[key].spark is spark:
         return _open[key]
-    where = at or place(spark, "index", code)
-    if exists(spark, f"{where}/model/_SUCCESS"):
+    where = at or place(spark, "index", f"{source}-{hashlib.sha256(repr(key[3]).encode()).hexdigest()[:8]}")
+    if not rebuild and exists(spark, f"{where}/model/_SUCCESS"):
         got = Index(spark, where)
-        if at is None or got.header["stamp"] in ("", code):
-            _open[key] = got
-            return got
+        if got.header["stamp"] != source:
+            raise ValueError(f"the index at {where} was built for other vectors; build it anew")
+        _open[key] = got
+        return got
     from pyspark.sql import functions as F
 
     strata = frames.stored_manifest(spark, folder).select("global_id", "site", F.date_format(F.timestamp_micros(F.expr("time_ns div 1000")), "yyyyMM").alias("month"))
-    _open[key] = build(frames.vectors(spark, folder), where, strata=strata, stamp=code, **options)
+    _open[key] = build(frames.vectors(spark, folder), where, strata=strata, stamp=source, **options)
     return _open[key]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,9 +31,12 @@ def root_of(paths: DataFrame, roots: Sequence[str], path: str = "drive_path") ->
 
 
 def by_drive(inventory: DataFrame, roots: Sequence[str]) -> DataFrame:
-    """Rows with their root and their place in its queue, by site and hour."""
-    w = Window.partitionBy("root").orderBy("site", "datetime", "drive_path", "file_size_bytes", "status")
-    return root_of(inventory, roots).withColumn("position", F.row_number().over(w))
+    """Rows with their root and their place in its queue, by site and hour; a drive with most of the rows is many tasks."""
+    from lodevec.operators.layout import dense_ids
+
+    d = dense_ids(root_of(inventory, roots), ["root", "site", "datetime", "drive_path", "file_size_bytes", "status"], "_pos")
+    first = d.groupBy("root").agg(F.min("_pos").alias("_f"))  # one row a root
+    return d.join(F.broadcast(first), "root").withColumn("position", (F.col("_pos") - F.col("_f") + 1).cast("int")).select(*inventory.columns, "root", "position")
 
 
 def choose(inventory: DataFrame, sites: Sequence[str] | None = None, years: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -95,7 +98,7 @@ def stride(rows: DataFrame, workers: int, worker: int, order: Sequence[str]) ->
     """Every n-th row in order, exactly as a strided slice takes them (positions by range, not by one task)."""
     from lodevec.operators.layout import dense_ids
 
-    return dense_ids(rows, list(order), "_i").where(F.pmod("_i", F.lit(workers)) == worker).drop("_i")
+    return dense_ids(rows, list(order), "_pos").where(F.pmod("_pos", F.lit(workers)) == worker).drop("_pos")
 
 
 def with_failures(worker_failures: DataFrame, announced: DataFrame, received: DataFrame) -> DataFrame:

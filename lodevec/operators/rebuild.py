@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodevec.operators.layout import dense_ids
+from lodevec.session import stage
+
 
 def nearest_frame(wanted: DataFrame, frames: DataFrame, keys: list[str], bucket_ns: int = 3_600_000_000_000) -> DataFrame:
     """For each wanted ``(*keys, want_ns)`` the frame nearest in time, before or after; ties: lower frame, then id.
@@ -39,23 +42,29 @@ def align(shards: DataFrame, rows: DataFrame, longest_gap: int = 1024) -> DataFr
     ``shards(shard_path, first_key, last_key, n)`` in order of path; ``rows(pos, key)``. A shard stands at the
     position where its first key is found and its last key n - 1 rows on; shards without a place are skipped.
     More than ``longest_gap`` skipped in a row, overlapping places, or rows left over raise ``ValueError``.
-    Work is two equi-joins on keys; only the shard list walks in order, as a window.
+    Work is two equi-joins on keys; the order of the shards is numbered by ranges.
     """
     a = shards.join(rows.select(F.col("key").alias("first_key"), F.col("pos").alias("start")), "first_key", "left")
     ends = rows.select(F.col("key").alias("last_key"), F.col("pos").alias("stop"))
     a = a.join(ends, "last_key", "left").where("stop - start = n - 1 or start is null or stop is null")
     best = a.groupBy("shard_path").agg(F.min(F.when(F.col("stop") - F.col("start") == F.col("n") - 1, F.struct("start", "stop"))).alias("at"))
     d = shards.select("shard_path", "n").join(best, "shard_path", "left").select("shard_path", "n", "at.start", "at.stop")
-    w = Window.orderBy("shard_path")
-    d = d.withColumn("prev", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.withColumn("grp", F.count("start").over(w))
-    bad = d.agg(F.count_if((F.col("start") <= F.col("prev"))).alias("overlap"), F.sum(F.when(F.col("start").isNotNull(), F.col("n"))).alias("placed")).first()
-    gap = d.where("start is null").groupBy("grp").count().agg(F.max("count").alias("m")).first().m
+    # neighbours in order of path: inside buckets of ordinals, and between the ends of the buckets
+    d = stage(dense_ids(d, ["shard_path"], "i"), "placed")
+    placed = d.where("start is not null").withColumn("b", F.expr("i div 100000L"))
+    w = Window.partitionBy("b").orderBy("i")
+    inner = placed.select((F.col("start") <= F.lag("stop").over(w)).alias("over"), (F.col("i") - F.lag("i").over(w) - 1).alias("gap"))
+    ends = placed.groupBy("b").agg(F.min_by(F.struct("i", "start"), "i").alias("first"), F.max_by(F.struct("i", "stop"), "i").alias("last"))
+    before = F.lag("last").over(Window.orderBy("b"))  # a row for 100,000 shards
+    edges = ends.select((F.col("first.start") <= before["stop"]).alias("over"), (F.col("first.i") - F.coalesce(before["i"], F.lit(-1)) - 1).alias("gap"))
+    bad = inner.unionByName(edges).agg(F.count_if("over").alias("overlap"), F.max("gap").alias("gap")).first()
+    size = d.agg(F.count("*").alias("n"), F.max(F.when(F.col("start").isNotNull(), F.col("i"))).alias("last"), F.sum(F.when(F.col("start").isNotNull(), F.col("n"))).alias("placed")).first()
+    gap = max(bad.gap or 0, size.n - 1 - (size.last if size.last is not None else -1))
     if bad.overlap:
         raise ValueError(f"{bad.overlap} shards stand out of order")
-    if (gap or 0) > longest_gap:
+    if gap > longest_gap:
         raise ValueError(f"{gap} shards in a row have no place")
     total = rows.count()
-    if (bad.placed or 0) != total:
-        raise ValueError(f"{bad.placed or 0} of {total} rows belong to a shard")
+    if (size.placed or 0) != total:
+        raise ValueError(f"{size.placed or 0} of {total} rows belong to a shard")
     return d.where("start is not null").select("shard_path", "start", (F.col("stop") + 1).alias("end"))

@@ -158,7 +158,7 @@ def spec_files(spark, folder):
 
 
 def spec_cost(spark, folder):
-    return archive.spec_cost(_spec(spark, folder), 1e6, 90.0)
+    return archive.spec_cost(_spec(spark, folder), 1e6, 90.0, 5.0, 0.002)
 
 
 def groups_complete(spark, folder):
@@ -258,8 +258,10 @@ CAST((year({UTC}) - 1970) * 12 + month({UTC}) - 1 AS INTEGER) AS month, 'brqu_'
     "day_range": f"WITH {M} SELECT global_id, time_ns FROM m WHERE time_ns BETWEEN 1136851200000000000 AND 1137110399999999999",
     "spec_summary": f"WITH {_SPEC} SELECT name, CAST(count(*) AS INTEGER) AS n_files, CAST(sum(b) AS BIGINT) AS n_bytes, list_sort(list(DISTINCT site)) AS sites, list_sort(list(DISTINCT substr(datetime, 1, 6))) AS months FROM s GROUP BY name",
     "spec_files": f"WITH {_SPEC} SELECT name, {_BASE} || {_ADDR} AS url, '/data/' || {_ADDR} AS target_path, b AS size_bytes FROM s",
-    "spec_cost": f"WITH {_SPEC} SELECT name, round(sum(b) / 1e6, 3) AS fetch_s, round(count(*) * 1000 / 90.0, 3) AS embed_s FROM s GROUP BY name",
+    "spec_cost": f"WITH {_SPEC} SELECT name, round(sum(b) / 1e6, 3) AS fetch_s, round(count(*) * 1000 / 90.0, 3) AS embed_s, round(5.0::DOUBLE + count(*) * 1000 * 0.002::DOUBLE, 3) AS index_s FROM s GROUP BY name",
     "groups_complete": f"WITH {M}, {_G} SELECT *, CASE WHEN received >= n_frames THEN 'complete' ELSE 'incomplete' END AS state FROM g",
     "groups_streamed": f"WITH {M}, {_G} SELECT *, 'complete' AS state FROM g WHERE received >= n_frames",
     "hourly_hits": "SELECT strftime(received_at, '%Y%m%d%H') AS hour, query_id, count(*) AS n FROM hits WHERE received_at IS NOT NULL GROUP BY 1, 2",
+    "hourly_hits_streamed": """SELECT strftime(received_at, '%Y%m%d%H') AS hour, query_id, count(*) AS n FROM hits WHERE received_at IS NOT NULL
+      AND date_trunc('hour', received_at) + INTERVAL 1 HOUR <= (SELECT max(received_at) FROM hits) - INTERVAL 2 HOUR GROUP BY 1, 2""",
 }

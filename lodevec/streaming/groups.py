@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,17 +40,18 @@ def complete_groups(frames: DataFrame, timeout_ms: int | None = None) -> DataFra
             return
         if done:  # late repeats of a group that was emitted
             return
-        bits = bytearray(seen)
+        bits = np.unpackbits(np.frombuffer(seen, np.uint8), bitorder="little")
         for b in batches:
-            for idx, n in zip(b["frame_idx"], b["n_frames"]):
-                want, idx = max(want, int(n)), int(idx)
-                if idx >= len(bits) * 8:
-                    bits.extend(bytes(idx // 8 + 1 - len(bits)))
-                if not bits[idx // 8] >> (idx % 8) & 1:
-                    bits[idx // 8] |= 1 << (idx % 8)
-                    got += 1
+            if not len(b):
+                continue
+            idx = np.unique(b["frame_idx"].to_numpy(np.int64))
+            want = max(want, int(b["n_frames"].max()))
+            if idx[-1] >= len(bits):
+                bits = np.concatenate([bits, np.zeros(idx[-1] + 1 - len(bits), np.uint8)])
+            got += int((bits[idx] == 0).sum())
+            bits[idx] = 1
         done = got >= want > 0
-        state.update((b"" if done else bytes(bits), got, want))
+        state.update((b"" if done else np.packbits(bits, bitorder="little").tobytes(), got, want))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
         if done:

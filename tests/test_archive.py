@@ -125,7 +125,9 @@ def test_command_line(spark, tiny, tmp_path, capsys):
     from lodevec.sources import frames
 
     assert main(["build", "--data", tiny, "--out", str(tmp_path / "ix"), "--cells", "4"]) == 0
-    assert spark.read.parquet(str(tmp_path / "ix/cells")).select("cell_id").distinct().count() <= 4
+    assert spark.read.parquet(str(tmp_path / "ix/rows")).select("cell_id").distinct().count() <= 4
+    with pytest.raises(ValueError, match="other vectors"):
+        main(["query", "--data", tiny.replace("sf0.001", "sf0.01"), "--index", str(tmp_path / "ix"), "brqu", "2006010100", "0"])
     r = frames.frames(spark, tiny).where("site is not null and time_ns is not null and frame_idx is not null").select("site", when.hour_stamp("time_ns").alias("h"), "frame_idx").orderBy("site", "h", "frame_idx").first()
     assert main(["query", "--data", tiny, r.site, r.h, str(r.frame_idx), "--results", "3", "--csv", str(tmp_path / "csv")]) == 0
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).columns == ["site", "datetime", "score", "source_cdf"]
