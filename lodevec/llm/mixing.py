@@ -27,7 +27,10 @@ MOST_TARGETS = 100_000  # a list of mixing targets is written by hand; more is r
 
 def source_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(src, n_docs, tokens)`` for each source code, null included."""
-    t = token_counts(docs.select("source", "text"), ["source"], path)
+    return _sums(token_counts(docs.select("source", "text"), ["source"], path))
+
+
+def _sums(t: DataFrame) -> DataFrame:
     # raw spellings first: the code is then derived from a few rows only
     raw = t.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     return raw.groupBy(code("source").alias("src")).agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
@@ -43,9 +46,12 @@ def clean_targets(targets: DataFrame) -> DataFrame:
     return t.where("src is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def mix_plan(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per target: its tokens, repetition rate, and whether it falls short of its share."""
-    sums = source_tokens(docs, path)
+def mix_plan(docs: DataFrame, targets: DataFrame, path: str | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """One row per target: its tokens, repetition rate, and whether it falls short of its share.
+
+    ``counted(doc_id, source, n_tokens)`` stands for the documents where their tokens are counted already.
+    """
+    sums = source_tokens(docs, path) if counted is None else _sums(counted)
     # a few rows (one per source): the total is a window over them, not a second pass over the corpus
     sums = sums.withColumn("total", F.sum("tokens").over(Window.partitionBy()))
     empty = F.lit(0).cast("long")
@@ -60,11 +66,16 @@ def mix_plan(docs: DataFrame, targets: DataFrame, path: str | None = None) -> Da
     )
 
 
-def emit(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
+def count_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``(doc_id, source, n_tokens)`` of every document."""
+    return token_counts(docs.select("doc_id", "source", "text"), ["doc_id", "source"], path)
+
+
+def emit(docs: DataFrame, plan: DataFrame, seed: int = 0, counted: DataFrame | None = None) -> DataFrame:
     """``(doc_id, src, n_tokens, copy)``: the copies that the plan calls for, ``copy`` from 1 on."""
     if plan.count() > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} mixing targets")
-    counted = token_counts(docs.select("doc_id", "source", "text"), ["doc_id", "source"]).withColumn("src", code("source"))
+    counted = (count_documents(docs) if counted is None else counted).withColumn("src", code("source"))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     uses = F.floor("rate").cast("int") + (u < F.col("rate") - F.floor("rate")).cast("int")
     d = counted.join(F.broadcast(plan.select("src", "rate")), "src").withColumn("uses", uses).where("uses > 0")
@@ -72,11 +83,12 @@ def emit(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def report(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """Target and actual share of every target source, with the tokens and documents emitted."""
+    """Target and actual share of every target source, with the tokens and documents emitted. Texts are read once."""
     from lodevec.session import stage
 
-    plan = stage(mix_plan(docs, targets), "mix")
-    got = emit(docs, plan, seed).groupBy("src").agg(F.count("*").alias("copies"), F.countDistinct("doc_id").alias("docs_used"), F.sum("n_tokens").alias("mixed_tokens"))
+    counted = stage(count_documents(docs), "counted")
+    plan = stage(mix_plan(docs, targets, counted=counted), "mix")
+    got = emit(docs, plan, seed, counted).groupBy("src").agg(F.count("*").alias("copies"), F.countDistinct("doc_id").alias("docs_used"), F.sum("n_tokens").alias("mixed_tokens"))
     out = plan.join(got, "src", "left").fillna(0, ["copies", "docs_used", "mixed_tokens"])
     total = F.sum("mixed_tokens").over(Window.partitionBy())
     return out.select("source", "target_share", "max_uses", "rate", "tokens", "copies", "docs_used", "mixed_tokens",
