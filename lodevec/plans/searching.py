@@ -92,8 +92,8 @@ def contrast_stretch(spark, folder):
 def masked_stretch(spark, folder):
     """Each vector as an 8 x 8 image: stretched, then cut to its disc, then at 4 x 4."""
     v = vectors(spark, folder).select("global_id", vec.disc(vec.stretch("embedding"), 8).alias("d"))
-    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5)
-    return v.select("global_id", total("d").alias("total"), F.round(F.col("d")[0], 6).alias("corner"), total(vec.resize("d", 8, 4)).alias("small_total"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return v.select("global_id", F.round(total("d"), 5).alias("total"), F.round(F.col("d")[0], 6).alias("corner"), F.round(4 * total(vec.resize("d", 8, 4)), 5).alias("small_total"))  # a small pixel is the mean of four
 
 
 def _cells(spark, folder):
@@ -301,7 +301,7 @@ s AS (SELECT global_id, list_transform(embedding, lambda x: CASE WHEN b > a THEN
 SELECT global_id, round(list_min(s), 6) AS lo, round(list_max(s), 6) AS hi, round(list_sum(s), 5) AS total FROM s""",
     "masked_stretch": f"""WITH {V}, p AS (SELECT global_id, embedding, list_aggregate(embedding, 'quantile_cont', 0.01) AS a, list_aggregate(embedding, 'quantile_cont', 0.99) AS b FROM v),
 s AS (SELECT global_id, list_transform(range(64), lambda i: CASE WHEN (i % 8 - 3.5) ** 2 + (i // 8 - 3.5) ** 2 <= 16 AND b > a THEN least(greatest((embedding[i + 1] - a) / (b - a), 0.0), 1.0) ELSE 0.0 END) AS d FROM p)
-SELECT global_id, round(list_sum(d), 5) AS total, round(d[1], 6) AS corner, round(list_sum(d) / 4, 5) AS small_total FROM s""",
+SELECT global_id, round(list_sum(d), 5) AS total, round(d[1], 6) AS corner, round(list_sum(d), 5) AS small_total FROM s""",
     "ivf_cells": f"{_CENT} SELECT global_id, cell_id FROM cells",
     "ivf_search": f"""{_PROBED}, pool AS (SELECT global_id, {COS} AS score FROM cells, q WHERE cell_id IN (SELECT cell_id FROM near) ORDER BY score DESC, global_id LIMIT {PREFILTER}),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, global_id) AS n FROM pool JOIN m USING (global_id))
