@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import vector as V
-from lodevec.functions.arrays import scores
+from lodevec.functions.arrays import scores, unit
 from lodevec.operators import ivf, sample
 from lodevec.operators import search as S
 from lodevec.operators.filters import predicate
@@ -257,9 +257,10 @@ class Index:
         """
         h = self.header
 
-        def run(got):
-            ids = np.array([r.query_id for r in got], np.int64)
-            q = np.array([self._unit(r.embedding) for r in got]).astype(np.float32)
+        def run(ids, x):
+            if x.shape[1] != h["dim"]:
+                raise ValueError(f"a query has {h['dim']} numbers, not {x.shape[1]}")
+            q = unit(x).astype(np.float32)
             s = q @ self.centroids.T
             wide = min(max(1, nprobe), h["cells"])
             near = np.argsort(-np.round(s, V.DIGITS), axis=1, kind="stable")[:, :wide]
@@ -275,7 +276,7 @@ class Index:
             p = p.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "global_id"))).where((F.col("rank") <= k) | (F.col("approx_rank") <= k))
             return p.select("query_id", "rank", "global_id", "score", "approx_rank"), held
 
-        out = S.in_blocks(queries, run)
+        out = S.in_blocks(queries, run, prefilter)
         return self.spark.createDataFrame([], "query_id long, rank int, global_id long, score double, approx_rank int") if out is None else out
 
     def stages(self, manifest: DataFrame, query, nprobe: int = 64, prefilter: int = 500, k: int = 24) -> dict[str, float]:

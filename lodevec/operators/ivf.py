@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import vector as V
+from lodevec.functions.arrays import unit
 from lodevec.operators import search as S
 from lodevec.operators.filters import select
 
@@ -141,22 +142,34 @@ def filtered_search(cells: DataFrame, centroids: DataFrame, manifest: DataFrame,
 def _grid(held, nprobes: list[int], most: int):
     def run(batches):
         ids, q, rank, cell_at = held.value
-        best = {m: S.Best(len(ids), most) for m in nprobes}
+        rough, widths, seen = q.astype(np.float32), np.array(nprobes), {}
+        best = [S.Best(len(ids), most) for _ in widths]
+        asks: dict[int, tuple] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            g, cell = b.column("global_id").to_numpy(), cell_at[b.column("cell_id").to_numpy()]
-            v = b.column("embedding").flatten().to_numpy().astype(np.float64).reshape(len(g), -1)
-            n = np.sqrt((v * v).sum(1))
-            v /= np.where(n > 0, n, 1)[:, None]
-            for i in range(0, len(ids), 256):
-                s = np.round(q[i : i + 256] @ v.T, V.DIGITS) + 0.0
-                place = rank[i : i + 256][:, cell]
-                for m in nprobes:
-                    a, c = S.candidates(np.where(place < m, s, -np.inf), best[m].floor[i : i + 256], most)
-                    best[m].add(a + i, g[c], s[a, c])
-        for m in nprobes:
-            qq, gg, sc = best[m].rows()[:3]
+            rows, v = S.unit_rows(b)
+            g, cell = b.column("global_id").to_numpy()[rows], cell_at[b.column("cell_id").to_numpy()[rows]]
+            o = np.argsort(cell, kind="stable")
+            for c in np.unique(cell):
+                if c not in seen:  # who asks for the cell, and the narrowest probe that does
+                    who = np.flatnonzero(rank[:, c] < widths[-1])
+                    seen, asks = {c: 0}, {c: (who, np.searchsorted(widths, rank[who, c], side="right"), q[who], rough[who])}
+                who, level, exact, fast = asks[c]
+                own = o[np.searchsorted(cell[o], c) : np.searchsorted(cell[o], c, side="right")]
+                at = 0
+                while at < len(own) and len(who):
+                    step = own[at : at + max(S.FIRST_ROWS, seen[c])]  # the floors rise before the next, larger step
+                    floor = np.stack([x.floor for x in best])[level, who]
+                    for a, r, s in S.near(exact, fast, v[step], floor, most):
+                        for m, x in enumerate(best):
+                            fit = (level[a] <= m) & (s >= x.floor[who[a]])
+                            x.add(who[a[fit]], g[step[r[fit]]], s[fit])
+                    for x in best:
+                        x.tighten()
+                    seen[c], at = seen[c] + len(step), at + len(step)
+        for m, x in zip(nprobes, best):
+            qq, gg, sc = x.rows()[:3]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qq), m, np.int32)), pa.array(ids[qq]), pa.array(gg), pa.array(sc)], names=["nprobe", "query_id", "global_id", "score"])
 
     return run
@@ -165,28 +178,28 @@ def _grid(held, nprobes: list[int], most: int):
 def grid(cells: DataFrame, centroids: DataFrame, queries: DataFrame, nprobes: list[int], prefilters: list[int], k: int) -> DataFrame:
     """``(nprobe, prefilter, query_id, rank, global_id, score)`` for every operating point at once.
 
-    The stated queries travel as matrices of bounded size with the rank of every cell for every query; each batch of
-    rows keeps the best of each probe width.
+    The stated queries travel as matrices of bounded size with the rank of every cell for every query. A row is met once by the
+    queries that probe its cell, against the floor of the narrowest probe that does, and is kept by each probe it is good enough
+    for. A point's prefilter ranks by the exact score, so the k best of a probe are the k best of its prefilter (or all that it has).
     """
     ids, c = matrix(centroids)
     cell_at = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
     cell_at[ids] = np.arange(len(ids))
+    nprobes, most = sorted(set(nprobes)), min(k, max(prefilters))
 
-    def run(got):
-        q = np.array([r.embedding for r in got], np.float64)
-        n = np.sqrt((q * q).sum(1))
-        q /= np.where(n > 0, n, 1)[:, None]
+    def run(query_ids, x):
+        q = unit(x)
         order = np.argsort(-(np.round(q @ c.T, V.DIGITS) + 0.0), axis=1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(ids)), order.shape), 1)
-        held = cells.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in got], np.int64), q, rank.astype(np.int32), cell_at))
-        part = cells.select("global_id", "cell_id", "embedding").mapInArrow(_grid(held, nprobes, max(prefilters)), "nprobe int, query_id long, global_id long, score double")
+        held = cells.sparkSession.sparkContext.broadcast((query_ids, q, rank.astype(np.int32), cell_at))
+        part = cells.select("global_id", "cell_id", "embedding").mapInArrow(_grid(held, nprobes, most), "nprobe int, query_id long, global_id long, score double")
         w = Window.partitionBy("nprobe", "query_id").orderBy(F.desc("score"), "global_id")
-        p = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(prefilters))
+        p = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
         p = p.select("*", F.explode(F.array(*map(F.lit, prefilters))).alias("prefilter")).where("rank <= prefilter")
-        return p.where(F.col("rank") <= k).select("nprobe", "prefilter", "query_id", "rank", "global_id", "score"), held
+        return p.select("nprobe", "prefilter", "query_id", "rank", "global_id", "score"), held
 
-    out = S.in_blocks(queries, run)
+    out = S.in_blocks(queries, run, most * len(nprobes))
     return cells.sparkSession.createDataFrame([], "nprobe int, prefilter int, query_id long, rank int, global_id long, score double") if out is None else out
 
 

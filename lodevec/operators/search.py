@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from lodevec.functions import vector as V
 from lodevec.functions import when
-from lodevec.functions.arrays import scores, usable_rows
+from lodevec.functions.arrays import scores, unit, usable_rows
 from lodevec.functions.address import parse_hour, url
 from lodevec.operators.filters import select
 from lodevec.session import stage
 
 MOST_HITS = 2000
-MOST_QUERIES = 10_000  # of one matrix; more go in blocks
+MOST_QUERIES = 65_536  # of one matrix; more go in blocks
+MOST_KEPT = 2_500_000  # best rows that a task keeps for all queries of a matrix
+TILE_QUERIES, TILE_ROWS = 256, 1024  # a tile of scores stays in the processor's cache
+FIRST_ROWS = 256
 ATTRIBUTES = ["global_id", "score", "site", "time_ns", "shard_path", "frame_idx"]
 
 
@@ -207,18 +210,52 @@ def query(manifest: DataFrame, vectors: DataFrame, site: str, hour, frame: int,
     return export(search_split(manifest, vectors, query_vector(vectors, resolve(manifest, site, hour, frame)), **options).orderBy("rank"))
 
 
-def candidates(s: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of what may stand among the k best of each row (with all ties), at its floor or above; finite only."""
+def candidates(s: np.ndarray, floor: np.ndarray, k: int, margin: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what may stand among the k best of each row (with all ties), at its floor or above; finite only.
+
+    ``margin``: how far a score may lie below the k-th and still count.
+    """
     hit = (s >= floor[:, None]) & np.isfinite(s)
     if s.shape[1] > k:
         many = np.flatnonzero(hit.sum(1) > k)
         if len(many):
             part = s[many]
             kth = np.partition(np.where(hit[many], part, -np.inf), part.shape[1] - k, axis=1)[:, part.shape[1] - k]
-            hit[many] &= part >= kth[:, None]
+            hit[many] &= part >= (kth - np.asarray(margin, s.dtype))[:, None]
     return np.nonzero(hit)
 
 
+def near(exact: np.ndarray, rough: np.ndarray, v: np.ndarray, floor: np.ndarray, k: int, blank: tuple | None = None):
+    """``(query, row, score)`` of all that may stand among the k best rows of a query, tile by tile.
+
+    Unit vectors in double precision; ``rough`` are the queries in single precision. Products in single precision find what may
+    reach a query's floor, with a margin above their error and the rounding of scores; only that is scored in double precision.
+    ``blank`` are queries and rows that don't count.
+    """
+    margin = 1e-6 + 1.3e-7 * v.shape[1]
+    few, low = v.astype(np.float32), (floor - margin).astype(np.float32)
+    for i in range(0, len(exact), TILE_QUERIES):
+        for j in range(0, len(v), TILE_ROWS):
+            s = rough[i : i + TILE_QUERIES] @ few[j : j + TILE_ROWS].T
+            if blank is not None:
+                here = (blank[0] >= i) & (blank[0] < i + len(s)) & (blank[1] >= j) & (blank[1] < j + s.shape[1])
+                s[blank[0][here] - i, blank[1][here] - j] = -np.inf
+            some = np.flatnonzero(s.max(1) >= low[i : i + TILE_QUERIES])
+            if not len(some):
+                continue
+            s = s[some]
+            a, c = candidates(s, low[i + some], k, 2 * margin)
+            a, c = some[a] + i, c + j
+            yield a, c, np.round(np.einsum("ij,ij->i", exact[a], v[c]), V.DIGITS) + 0.0
+
+
+def unit_rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """``(rows, vectors)`` of a batch whose vectors have one length: those that have finite numbers at length one."""
+    v = unit(b.column("embedding").flatten().to_numpy().reshape(b.num_rows, -1))
+    rows = np.flatnonzero(np.isfinite(v).all(1))
+    return rows, v if len(rows) == len(v) else v[rows]
+
+
 class Best:
     """The k best rows of each of n queries so far, ties to the lower id; what a task sends on when its input ends.
 
@@ -228,7 +265,7 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.floor = k, np.full(n, -np.inf)
         self.held: list[tuple] = []
-        self.size, self.most = 0, max(1 << 16, 4 * n * k)
+        self.size, self.kept, self.most = 0, 0, max(1 << 16, 4 * n * k)
 
     def add(self, query: np.ndarray, gid: np.ndarray, score: np.ndarray, *more: np.ndarray) -> None:
         if not len(query):
@@ -249,6 +286,12 @@ class Best:
         full = size >= self.k
         self.floor[q[first[full]]] = cols[2][first[full] + self.k - 1]
         self.held, self.size = [tuple(c[keep] for c in cols)], int(keep.sum())
+        self.kept = self.size
+
+    def tighten(self) -> None:
+        """Raise the floors where enough has come since the last time."""
+        if self.held and self.size >= 1.5 * self.kept:
+            self.shrink()
 
     def rows(self):
         if not self.held:
@@ -260,20 +303,25 @@ class Best:
 def _batch(queries, k: int, skip_self: bool):
     def run(batches):
         ids, q = queries.value
+        rough, order, seen = q.astype(np.float32), np.argsort(ids, kind="stable"), 0
         best = Best(len(ids), k)
         for b in batches:
             if not b.num_rows:
                 continue
-            g = b.column("global_id").to_numpy()
-            v = b.column("embedding").flatten().to_numpy().astype(np.float64).reshape(len(g), -1)
-            n = np.sqrt((v * v).sum(1))
-            v /= np.where(n > 0, n, 1)[:, None]
-            for i in range(0, len(ids), 512):
-                s = np.round(q[i : i + 512] @ v.T, V.DIGITS) + 0.0
+            rows, v = unit_rows(b)
+            g = b.column("global_id").to_numpy()[rows]
+            at = 0
+            while at < len(g):
+                end = at + max(FIRST_ROWS, seen)  # the floors rise before the next, larger step
+                blank = None
                 if skip_self:
-                    s[ids[i : i + 512][:, None] == g[None, :]] = -np.inf
-                a, c = candidates(s, best.floor[i : i + 512], k)
-                best.add(a + i, g[c], s[a, c])
+                    lo, hi = (np.searchsorted(ids, g[at:end], side, sorter=order) for side in ("left", "right"))
+                    n = hi - lo
+                    blank = order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())], np.repeat(np.arange(len(n)), n)
+                for a, c, s in near(q, rough, v[at:end], best.floor, k, blank):
+                    best.add(a, g[at + c], s)
+                best.tighten()
+                seen, at = seen + len(g[at:end]), end
         qq, gg, sc = best.rows()[:3]
         if len(qq):
             yield pa.RecordBatch.from_arrays([pa.array(ids[qq]), pa.array(gg), pa.array(sc)], names=["query_id", "global_id", "score"])
@@ -281,22 +329,30 @@ def _batch(queries, k: int, skip_self: bool):
     return run
 
 
-def in_blocks(queries: DataFrame, run: Callable) -> DataFrame | None:
-    """The union of ``run(rows)``, a DataFrame and the broadcast it reads, over blocks of at most ``MOST_QUERIES`` queries or so.
+def in_blocks(queries: DataFrame, run: Callable, kept: int = 1) -> DataFrame | None:
+    """The union of ``run(ids, vectors)``, a DataFrame and the broadcast it reads, over blocks of queries.
 
+    A block has at most ``MOST_QUERIES`` queries or so, and fewer where ``kept`` rows of each would pass ``MOST_KEPT``.
     An id's rows are in one block (by hash of ``query_id``). Where there are several blocks, each one's answers
     are staged and its matrix is dropped before the next one, so that no number of queries is refused. None without queries.
     """
     q = queries.select("query_id", "embedding")
-    got = q.limit(MOST_QUERIES + 1).collect()
-    if len(got) <= MOST_QUERIES:
-        return run(got)[0] if got else None
-    parts, out = -(-2 * q.count() // MOST_QUERIES), None
+    most = max(1, min(MOST_QUERIES, MOST_KEPT // kept))
+
+    def matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        t = rows.toArrow().combine_chunks()
+        n = t.num_rows
+        return t["query_id"].to_numpy(), t["embedding"].combine_chunks().flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, V.DIM))
+
+    ids, x = matrix(q.limit(most + 1))
+    if len(ids) <= most:
+        return run(ids, x)[0] if len(ids) else None
+    parts, out = -(-11 * q.count() // (10 * most)), None
     for part in range(parts):
-        got = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
-        if not got:
+        ids, x = matrix(q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part))
+        if not len(ids):
             continue
-        answers, held = run(got)
+        answers, held = run(ids, x)
         answers = stage(answers, "answers")
         held.destroy()
         out = answers if out is None else out.unionByName(answers)
@@ -312,13 +368,10 @@ def batch_top(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool =
         raise ValueError(f"more than {most} queries in one batch")
     spark = vectors.sparkSession
 
-    def run(got):
-        ids = np.array([r.query_id for r in got], np.int64)
-        q = np.array([r.embedding for r in got], np.float64)
-        n = np.sqrt((q * q).sum(1))
-        held = spark.sparkContext.broadcast((ids, q / np.where(n > 0, n, 1)[:, None]))
+    def run(ids, x):
+        held = spark.sparkContext.broadcast((ids, unit(x)))
         part = vectors.select("global_id", "embedding").mapInArrow(_batch(held, k, skip_self), "query_id long, global_id long, score double")
         return ranked(part, ("query_id",)).where(F.col("rank") <= k).select("query_id", "rank", "global_id", "score"), held
 
-    out = in_blocks(queries, run)
+    out = in_blocks(queries, run, k)
     return spark.createDataFrame([], "query_id long, rank int, global_id long, score double") if out is None else out

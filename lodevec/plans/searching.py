@@ -124,10 +124,12 @@ def ivf_filtered(spark, folder):
     return ivf.filtered_search(cells, c, stored_manifest(spark, folder), first_query(stored_vectors(spark, folder)), k=K, nprobe=PROBE, prefilter=PREFILTER, sites=SITES, windows=WINDOWS, exact_rows=0, diversify_seconds=None)
 
 
-def _grid(spark, folder):
+def _grid(spark, folder, nprobes=(1, 4, 16), prefilters=(20, 200), k=10):
+    """All usable vectors, the stated queries and their answers at these operating points."""
     cells, c = _cells(spark, folder)
-    q = query_set(vectors(spark, folder))
-    return cells.select("global_id", "embedding"), q, ivf.grid(cells, c, q, [1, 4, 16], [20, 200], 10)
+    v = cells.select("global_id", "embedding")
+    q = query_set(v)
+    return v, q, ivf.grid(cells, c, q, nprobes, prefilters, k)
 
 
 def ivf_grid(spark, folder):

@@ -138,3 +138,35 @@ def test_more_queries_than_a_matrix_holds_go_in_blocks(spark, frames, monkeypatc
     assert len(want[0]) == 43 * 3
     monkeypatch.setattr(search, "MOST_QUERIES", 10)
     assert run() == want
+
+
+def _rows(n, seed, first=0):
+    import numpy as np
+    import pyarrow as pa
+
+    x = np.random.default_rng(seed).standard_normal((n, 64)).astype(np.float32)
+    x[: n // 4] = x[n // 4 : 2 * (n // 4)]  # ties
+    e = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    return x, pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), pa.array(np.arange(n, dtype=np.int32) % 3), e], names=["global_id", "cell_id", "embedding"])
+
+
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_grid_task_sends_on_no_more_than_the_answers():
+    """ivf_grid: k rows of a probe, not the whole prefilter, and those of a plain sort."""
+    import numpy as np
+
+    from lodevec.functions.arrays import unit
+
+    x, b = _rows(3000, 1)
+    q, v = unit(x[::100]), unit(x)
+    rank = np.stack([np.roll(np.arange(3), i) for i in range(len(q))]).astype(np.int32)
+    out = list(ivf._grid(_Held((np.arange(len(q)), q, rank, np.arange(3))), [1, 3], 10)([b.slice(0, 1700), b.slice(1700)]))
+    got = sorted((m, i, -s, g) for t in out for m, i, g, s in zip(*(c.to_pylist() for c in t.columns)))
+    s = np.round(q @ v.T, 6) + 0.0
+    cell = np.arange(3000) % 3
+    want = [(m, i, -s[i, g], g) for m in (1, 3) for i in range(len(q)) for g in sorted(np.flatnonzero(rank[i][cell] < m), key=lambda g: (-s[i, g], g))[:10]]
+    assert got == sorted(want)
