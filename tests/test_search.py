@@ -170,3 +170,17 @@ def test_a_grid_task_sends_on_no_more_than_the_answers():
     cell = np.arange(3000) % 3
     want = [(m, i, -s[i, g], g) for m in (1, 3) for i in range(len(q)) for g in sorted(np.flatnonzero(rank[i][cell] < m), key=lambda g: (-s[i, g], g))[:10]]
     assert got == sorted(want)
+
+
+def _asked(monkeypatch, spark, folder, query):
+    from lodevec.plans import searching
+
+    got = []
+    real = ivf.grid
+    monkeypatch.setattr(ivf, "grid", lambda *a: got.append(a[3:]) or real(*a))
+    getattr(searching, query)(spark, folder)
+    return got
+
+
+def test_score_gap_asks_for_the_best_row_of_its_own_point(spark, tiny, monkeypatch):
+    assert _asked(monkeypatch, spark, tiny, "ivf_score_gap") == [([4], [200], 1)]
