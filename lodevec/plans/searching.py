@@ -10,6 +10,7 @@ from lodevec import engine
 from lodevec.operators import ivf, metrics, sample, search, validate
 from lodevec.operators.filters import in_windows
 from lodevec.plans.common import COS, QSET, M, Q, V, first_query, frames, manifest, query_set, stored_frames, stored_manifest, stored_vectors, table, usable_vectors, vectors
+from lodevec.session import stage
 
 SITES = ["brqu", "dovr", "fjoa"]
 WINDOWS = [(1136073600000000000, 1137283199999999999), (1138752000000000000, 1139961599999999999)]  # two fortnights of 2006
@@ -152,10 +153,10 @@ def ivf_score_gap(spark, folder):
 
 def ivf_pool_recall(spark, folder):
     """Recall within a sampled pool: the index answers are cut to the pool first."""
-    v, q, g = _grid(spark, folder)
-    pool = sample.uniform(v.select("global_id").distinct(), 2000, seed=3)
-    truth = search.batch_top(v.join(pool, "global_id", "left_semi"), q, 10)
-    a = g.where("nprobe = 16 and prefilter = 200").join(pool, "global_id", "left_semi")
+    v, q, g = _grid(spark, folder, [16], [200])
+    pool = stage(sample.uniform(v.select("global_id").distinct(), 2000, seed=3), "pool")
+    truth = stage(search.batch_top(v.join(F.broadcast(pool), "global_id", "left_semi"), q, 10), "truth")
+    a = stage(g.join(F.broadcast(pool), "global_id", "left_semi"), "grid")
     return metrics.recall(truth, search.ranked(a.select("query_id", "global_id", "score"), ("query_id",))).select("query_id", "n_truth", "n_hit")
 
 

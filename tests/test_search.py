@@ -184,3 +184,7 @@ def _asked(monkeypatch, spark, folder, query):
 
 def test_score_gap_asks_for_the_best_row_of_its_own_point(spark, tiny, monkeypatch):
     assert _asked(monkeypatch, spark, tiny, "ivf_score_gap") == [([4], [200], 1)]
+
+
+def test_pool_recall_asks_for_its_own_point(spark, tiny, monkeypatch):
+    assert _asked(monkeypatch, spark, tiny, "ivf_pool_recall") == [([16], [200], 10)]
