@@ -138,8 +138,8 @@ def ivf_grid(spark, folder):
 
 
 def ivf_recall(spark, folder):
-    v, q, g = _grid(spark, folder)
-    per = metrics.recall(search.batch_top(v, q, 10), g, ("nprobe", "prefilter"))
+    v, q, g = _grid(spark, folder, [1, 4, 16], [20, 200])
+    per = metrics.recall(stage(search.batch_top(v, q, 10), "truth"), stage(g, "grid"), ("nprobe", "prefilter"))  # both are read several times
     s = metrics.recall_summary(per, ("nprobe", "prefilter"))
     return s.select("nprobe", "prefilter", "n", F.round("mean", 6).alias("mean"), F.round("p10", 6).alias("p10"), F.round("min", 6).alias("min"), F.round("top1_rate", 6).alias("top1_rate"))
 

@@ -188,3 +188,17 @@ def test_score_gap_asks_for_the_best_row_of_its_own_point(spark, tiny, monkeypat
 
 def test_pool_recall_asks_for_its_own_point(spark, tiny, monkeypatch):
     assert _asked(monkeypatch, spark, tiny, "ivf_pool_recall") == [([16], [200], 10)]
+
+
+def _staged(monkeypatch, spark, folder, query):
+    from lodevec.plans import searching
+
+    got = []
+    real = searching.stage
+    monkeypatch.setattr(searching, "stage", lambda df, name: got.append(name) or real(df, name))
+    getattr(searching, query)(spark, folder)
+    return sorted(got)
+
+
+def test_recall_scores_once_what_it_reads_several_times(spark, tiny, monkeypatch):
+    assert _staged(monkeypatch, spark, tiny, "ivf_recall") == ["grid", "truth"]
