@@ -183,8 +183,8 @@ def pq_scores(spark, folder):
 
 
 def locality(spark, folder):
-    v, q, g = _grid(spark, folder)
-    return metrics.locality(g.where("nprobe = 4 and prefilter = 200"), v.count()).select("query_id", "runs", F.round("span_share", 6).alias("span_share"))
+    v, q, g = _grid(spark, folder, [4], [200])
+    return metrics.locality(g, v.count()).select("query_id", "runs", F.round("span_share", 6).alias("span_share"))
 
 
 def index_search(spark, folder):

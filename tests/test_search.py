@@ -202,3 +202,7 @@ def _staged(monkeypatch, spark, folder, query):
 
 def test_recall_scores_once_what_it_reads_several_times(spark, tiny, monkeypatch):
     assert _staged(monkeypatch, spark, tiny, "ivf_recall") == ["grid", "truth"]
+
+
+def test_locality_asks_for_its_own_point(spark, tiny, monkeypatch):
+    assert [x[:2] for x in _asked(monkeypatch, spark, tiny, "locality")] == [([4], [200])]
