@@ -206,3 +206,12 @@ def test_recall_scores_once_what_it_reads_several_times(spark, tiny, monkeypatch
 
 def test_locality_asks_for_its_own_point(spark, tiny, monkeypatch):
     assert [x[:2] for x in _asked(monkeypatch, spark, tiny, "locality")] == [([4], [200])]
+
+
+def test_order_of_kept_rows_is_that_of_a_sort_by_all_keys():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for digits, scale in ((2, 1), (6, 1), (12, 1), (2, 9)):  # ties, cosines, unrounded, no cosines
+        q, g, s = r.integers(0, 50, 5000), r.permutation(5000), np.round(r.uniform(-scale, scale, 5000), digits)
+        assert (search._order(q, g, s) == np.lexsort((g, -s, q))).all()
