@@ -183,7 +183,8 @@ def pq_scores(spark, folder):
 
 
 def locality(spark, folder):
-    v, q, g = _grid(spark, folder, [4], [200])
+    """Of all candidates that the operating point hands to the rerank, not only the answers."""
+    v, q, g = _grid(spark, folder, [4], [200], 200)
     return metrics.locality(g, v.count()).select("query_id", "runs", F.round("span_share", 6).alias("span_share"))
 
 
@@ -332,6 +333,6 @@ parts AS (SELECT unnest(range(8)) AS p),
 c AS (SELECT u.global_id, u.embedding, p, code, list_distance(u.e[8 * p + 1 : 8 * p + 8], bk.e[8 * p + 1 : 8 * p + 8]) AS d, list_inner_product(qn.e[8 * p + 1 : 8 * p + 8], bk.e[8 * p + 1 : 8 * p + 8]) AS x FROM u, bk, qn, parts),
 b AS (SELECT global_id, embedding, p, x FROM c QUALIFY row_number() OVER (PARTITION BY global_id, embedding, p ORDER BY d, code) = 1)
 SELECT global_id, round(sum(x), 6) AS score FROM b GROUP BY global_id, embedding""",
-    "locality": f"""{_GRID}, c AS (SELECT query_id, global_id, lag(global_id) OVER (PARTITION BY query_id ORDER BY global_id) AS p FROM g WHERE nprobe = 4 AND prefilter = 200)
+    "locality": f"""{_GRID}, c AS (SELECT query_id, global_id, lag(global_id) OVER (PARTITION BY query_id ORDER BY global_id) AS p FROM p WHERE nprobe = 4 AND rank <= 200)
 SELECT query_id, CAST(sum(CASE WHEN p IS NULL OR global_id - p > 1 THEN 1 ELSE 0 END) AS BIGINT) AS runs, round((max(global_id) - min(global_id)) / (SELECT count(*) FROM v), 6) AS span_share FROM c GROUP BY query_id""",
 }

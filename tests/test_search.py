@@ -215,3 +215,7 @@ def test_order_of_kept_rows_is_that_of_a_sort_by_all_keys():
     for digits, scale in ((2, 1), (6, 1), (12, 1), (2, 9)):  # ties, cosines, unrounded, no cosines
         q, g, s = r.integers(0, 50, 5000), r.permutation(5000), np.round(r.uniform(-scale, scale, 5000), digits)
         assert (search._order(q, g, s) == np.lexsort((g, -s, q))).all()
+
+
+def test_locality_is_of_all_candidates_of_the_rerank(spark, tiny, monkeypatch):
+    assert _asked(monkeypatch, spark, tiny, "locality") == [([4], [200], 200)]
