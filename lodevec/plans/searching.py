@@ -214,7 +214,7 @@ def index_self_retrieval(spark, folder):
 def index_recall(spark, folder):
     """Recall@10 of the two stages and of the codes alone, against brute force: above the least allowed, and the rerank no worse."""
     q, a = _index_answers(spark, folder)
-    truth = search.batch_top(vectors(spark, folder), q, 10)
+    a, truth = stage(a, "answers"), stage(search.batch_top(vectors(spark, folder), q, 10), "truth")  # both are read several times
     two = metrics.recall_summary(metrics.recall(truth, a.where("rank <= 10")))
     raw = metrics.recall_summary(metrics.recall(truth, a.where("approx_rank <= 10").withColumn("rank", F.col("approx_rank"))))
     return two.crossJoin(raw.select(F.col("mean").alias("raw_mean"))).select("n", (F.col("mean") >= 0.9).alias("enough"), (F.col("mean") >= F.col("raw_mean")).alias("no_worse"))  # one row each

@@ -219,3 +219,7 @@ def test_order_of_kept_rows_is_that_of_a_sort_by_all_keys():
 
 def test_locality_is_of_all_candidates_of_the_rerank(spark, tiny, monkeypatch):
     assert _asked(monkeypatch, spark, tiny, "locality") == [([4], [200], 200)]
+
+
+def test_index_recall_scores_once_what_it_reads_several_times(spark, tiny, monkeypatch):
+    assert _staged(monkeypatch, spark, tiny, "index_recall") == ["answers", "truth"]
