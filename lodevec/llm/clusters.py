@@ -14,8 +14,9 @@ A cluster is a maximal set of at least ``least`` ids any two of which have a cos
    (``ROUNDING``), in buckets of any size and with heads alike. The Jaccard of two sets is no condition: any
    bound on it would lose pairs that the cosine, which defines a cluster, accepts. Out of a task comes one
    link for each row, to the least id it is connected to there, never a list of pairs. A bucket's links connect
-   every two rows found similar in it; buckets above ``CROWD`` rows are peeled first (all that are similar to one of the
-   lowest ids join it and leave), then rows of different groups are compared. Rows that no band
+   every two rows found similar in it: each pair is compared once, in blocks, unless this or an earlier band has joined a
+   whole block; buckets above ``CROWD`` rows are peeled first (all that are similar to one of the
+   lowest ids join it and leave, while these are many). Rows that no band
    joined are compared with the heads of the groups found where they arrive. Exact copies
    are joined to one of them per input batch before anything travels.
 4. *Connected components* of the stars, by staged rounds.
@@ -60,7 +61,9 @@ BANDS = 4
 ROUNDING = 0.01
 STRANGERS = 150
 SMALL = 24  # buckets up to this size are compared by shifts, larger ones by matrix products
-CROWD = 4096
+MIDDLE = 128  # buckets up to this size share products with others, larger ones are compared in blocks
+CROWD = 4096  # larger ones are peeled by heads first
+TILE, BLOCK = 262_144, 128  # cosines at once, and rows they belong to
 LARGE = 30_000
 STEPS = 200_000  # of one task in the search for maximal sets; what is left then goes to further tasks
 ROOM = 1_000_000  # members of the sets that one task finds
@@ -103,19 +106,32 @@ class Hashes:
     def sets(self, u: np.ndarray) -> np.ndarray:
         """Of each row, the centroid that each codebook names."""
         out = np.empty((len(u), BOOKS), np.uint8)
-        for i in range(0, len(u), 8192):
-            d = u[i : i + 8192] @ self.w
-            d += self.off
-            out[i : i + 8192] = d.reshape(len(d), BOOKS, CENTROIDS).argmin(2)
+        w = np.ascontiguousarray(self.w.reshape(-1, BOOKS, CENTROIDS).transpose(2, 1, 0)).reshape(CENTROIDS * BOOKS, -1)
+        off = self.off.reshape(BOOKS, CENTROIDS).T.reshape(-1, 1)
+        for i in range(0, len(u), 1024):
+            # all first centroids, all second ones, and so on: as many whole rows to compare
+            d = w @ u[i : i + 1024].T
+            d += off
+            d = d.reshape(CENTROIDS, -1)
+            least, name, above = d.min(0), np.zeros(d.shape[1], np.uint8), np.ones(d.shape[1], bool)
+            for c in range(CENTROIDS - 1):
+                above &= d[c] > least
+                name += above
+            out[i : i + 1024] = name.reshape(BOOKS, -1).T
         return out
 
     def key(self, names: np.ndarray, first: int, count: int) -> np.ndarray:
         """``count`` min-hashes, the least rank of a name in a random order of all, as one number."""
         out = np.zeros(len(names), np.int64)
+        # the names of four books are one number, looked up at once
+        fours = [np.ascontiguousarray(names[:, j : j + 4]).astype(np.intp) @ CENTROIDS ** np.arange(3, -1, -1) for j in range(0, BOOKS, 4)]
         for h in range(first, first + count):
-            least = self.orders[h][0][names[:, 0]]
-            for j in range(1, BOOKS):
-                np.minimum(least, self.orders[h][j][names[:, j]], out=least)
+            least = np.full(len(names), BOOKS * CENTROIDS, np.uint16)
+            for j, at in zip(range(0, BOOKS, 4), fours):
+                t = self.orders[h][j]
+                for more in self.orders[h][j + 1 : j + 4]:
+                    t = np.minimum(t[:, None], more).ravel()
+                np.minimum(least, t[at], out=least)
             out = out * (BOOKS * CENTROIDS) + least
         return out
 
@@ -171,56 +187,81 @@ def _lead(hashes: Hashes):
     return run
 
 
-def _bucket_links(u: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows of one bucket, by which any two similar rows are connected.
-
-    Of each row, to the first and the last similar to it; and where these don't connect it to the others it is similar to, to them.
+def _upper_links(u: np.ndarray, start: np.ndarray, size: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of similar rows in small buckets that lie one after the other in ``u``; buckets of about one size share a product."""
+    a, b = [], []
+    by = np.argsort(size, kind="stable")
+    while len(by):
+        # from the largest down, so that padding is little
+        n = int(size[by[-1]])
+        mine, by = np.split(by, [max(0, len(by) - max(1, TILE // (n * n)))])[::-1]
+        x = u[np.minimum(start[mine][:, None] + np.arange(n), len(u) - 1)]
+        near = np.matmul(x, x.transpose(0, 2, 1)) >= min_cos
+        near &= np.tri(n, k=-1, dtype=bool).T
+        at, pair = np.divmod(np.flatnonzero(near), n * n)
+        i, j = np.divmod(pair, n)
+        own = j < size[mine][at]  # i < j, and what lies behind a shorter bucket is another's
+        at, i, j = start[mine][at[own]], i[own], j[own]
+        a.append(at + i)
+        b.append(at + j)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _bucket_links(u: np.ndarray, min_cos: float, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the rows of one bucket, by which, and by equal roots, any two similar rows are connected.
+
+    Rows of different groups are compared in blocks, each pair of rows once.
     """
     n = len(u)
+    a, b = [], []
+    root = np.arange(n) if root is None else root
     if n > CROWD:
-        return _crowd_links(u, min_cos)
-    near = u @ u.T >= min_cos
-    me = np.arange(n)
-    near[me, me] = True
-    low, high = near.argmax(1), n - 1 - near[:, ::-1].argmax(1)
-    a, b = low != me, high != me
-    x, y = np.r_[me[a], me[b]], np.r_[low[a], high[b]]
-    many = np.flatnonzero(near.sum(1) - 1 > a.astype(int) + b)
-    if len(many):
-        root = connect(n, x, y)
-        i, j = np.nonzero(near[many] & (root[many][:, None] != root[None, :]))
-        x, y = np.r_[x, many[i]], np.r_[y, j]
-    return x, y
-
-
-def _crowd_links(u: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
-    """The same for a crowd: peeled by heads, then the rows of different groups are compared in blocks."""
-    n = len(u)
-    left, a, b = np.arange(n), [], []
-    while len(left):
+        x, y = _heads(u, min_cos)
+        a.append(x)
+        b.append(y)
+        root = np.unique(root, return_inverse=True)[1]
+        root = connect(n, root[x], root[y])[root]
+    o = np.argsort(root, kind="stable")
+    u, root = u[o], root[o]
+    root = np.maximum.accumulate(np.where(np.r_[True, root[1:] != root[:-1]], np.arange(n), 0))
+
+    def join(p, q):
+        nonlocal root
+        x, y = root[p], root[q]
+        new = np.flatnonzero(x != y)
+        if len(new):
+            a.append(o[p[new]])
+            b.append(o[q[new]])
+            root = connect(n, x[new], y[new])[root]
+
+    for i in range(0, n, BLOCK):
+        for j in range(i, n, TILE // BLOCK):
+            p, q = slice(i, i + BLOCK), slice(j, j + TILE // BLOCK)
+            if (root[p] == root[i]).all() and (root[q] == root[i]).all():
+                continue
+            near = u[q] @ u[p].T >= min_cos
+            r = np.flatnonzero(near.any(1))
+            near = near[r]
+            join(j + r, i + near.argmax(1))
+            # most rows met their group by the first row similar to them, few pairs are left
+            near &= root[j + r][:, None] != root[p]
+            x, y = np.divmod(np.flatnonzero(near), near.shape[1])
+            join(j + r[x], i + y)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _heads(u: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a crowd's rows to the lowest similar to them, as long as these take many along."""
+    left, a, b, many = np.arange(len(u)), [], [], True
+    while many and len(left):
         heads = left[:64]
         near = u[left] @ u[heads].T >= min_cos
         near[np.arange(len(heads)), np.arange(len(heads))] = True
         has = near.any(1)
         a.append(left[has])
         b.append(heads[near[has].argmax(1)])
-        has[: len(heads)] = True
+        many = has.sum() > len(heads) + len(left) // 16
         left = left[~has]
-    root = connect(n, np.concatenate(a), np.concatenate(b))
-    o = np.argsort(root, kind="stable")
-    for i in range(0, n, 1024):
-        for j in range(i, n, 1024):
-            p, q = o[i : i + 1024], o[j : j + 1024]
-            rp, rq = root[p], root[q]
-            if (rp == rq[0]).all() and (rq == rq[0]).all():
-                continue
-            r, c = np.nonzero((u[p] @ u[q].T >= min_cos) & (rp[:, None] != rq[None, :]))
-            if len(r):
-                _, one = np.unique(rp[r] * n + rq[c], return_index=True)
-                r, c = r[one], c[one]
-                a.append(p[r])
-                b.append(q[c])
-                root = connect(n, rp[r], rq[c])[root]
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -238,8 +279,9 @@ def _links(hashes: Hashes, min_cos: float):
         g, u = g[o], vec.unit(v[o])
         del v
         names = hashes.sets(u)
-        one, two = [], []
+        root = np.arange(len(g))
         for band in range(BANDS):
+            one, two = [], []
             k = hashes.key(names, hashes.groups * hashes.lead + (group * BANDS + band) * hashes.rows, hashes.rows)
             o = np.argsort(k, kind="stable")
             ks = k[o]
@@ -259,28 +301,33 @@ def _links(hashes: Hashes, min_cos: float):
                 if len(hit):
                     one.append(so[hit])
                     two.append(so[hit + d])
-            for i, n in zip(start[size > SMALL], size[size > SMALL]):
+            middle, crowd = (size > SMALL) & (size <= MIDDLE), size > max(SMALL, MIDDLE)
+            if middle.any():
+                r = o[np.repeat(middle, size)]
+                x, y = _upper_links(u[r], np.cumsum(size[middle]) - size[middle], size[middle], min_cos - ROUNDING)
+                one.append(r[x])
+                two.append(r[y])
+            for i, n in zip(start[crowd], size[crowd]):
                 r = o[i : i + n]
-                x, y = _bucket_links(u[r], min_cos - ROUNDING)
-                if len(x):
-                    one.append(r[x])
-                    two.append(r[y])
-        if not one:
-            z = pa.array([], pa.int64())
-            return pa.table({"a": z, "b": z})
-        one, two = np.concatenate(one), np.concatenate(two)
-        root = connect(len(g), one, two)
+                x, y = _bucket_links(u[r], min_cos - ROUNDING, root[r])  # what earlier bands joined stays so
+                one.append(r[x])
+                two.append(r[y])
+            if one:
+                root = connect(len(g), root[np.concatenate(one)], root[np.concatenate(two)])[root]
         # what no band joined meets the heads of the groups formed here
         size = np.bincount(root, minlength=len(g))
         heads, alone = np.flatnonzero(size >= 3), np.flatnonzero(size[root] < 3)
+        one, two = [], []
         for i in range(0, len(alone), 1024):
             a = alone[i : i + 1024]
             for j in range(0, len(heads), 4096):
                 near = u[a] @ u[heads[j : j + 4096]].T >= min_cos - ROUNDING
                 has = np.flatnonzero(near.any(1))
                 if len(has):
-                    one, two = np.r_[one, a[has]], np.r_[two, heads[j + near[has].argmax(1)]]
-        root = connect(len(g), one, two)
+                    one.append(root[a[has]])
+                    two.append(heads[j + near[has].argmax(1)])
+        if one:
+            root = connect(len(g), np.concatenate(one), np.concatenate(two))[root]
         at = np.flatnonzero(g[root] != g)
         return pa.table({"a": pa.array(g[at], pa.int64()), "b": pa.array(g[root][at], pa.int64())})
 

@@ -152,6 +152,61 @@ def test_links_of_a_bucket_connect_all_that_are_similar(monkeypatch, crowd):
         assert (clusters.connect(len(u), *clusters._bucket_links(u, 0.7)) == want).all()
 
 
+class Counted(np.ndarray):
+    """Rows that count the cosines made of them."""
+
+    made = 0
+
+    def __matmul__(self, other):
+        out = np.asarray(self) @ np.asarray(other)
+        Counted.made += out.size
+        return out
+
+
+def test_a_bucket_compares_each_pair_once_and_no_rows_joined_before(monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 1500
+    u = vec.unit(rng.standard_normal((n, 9)) @ np.eye(64)[:9])
+    near = u @ u.T >= 0.8
+    want = clusters.connect(n, *np.nonzero(near))
+    assert 1 < len(np.unique(want)) < n
+    monkeypatch.setattr(Counted, "made", 0)
+    assert (clusters.connect(n, *clusters._bucket_links(u.view(Counted), 0.8)) == want).all()
+    assert Counted.made < 0.6 * n * n
+    # links of earlier bands: the rest is joined, and nothing where all is
+    i, j = (x[: len(x) // 50] for x in np.nonzero(near))
+    before = clusters.connect(n, i, j)
+    a, b = clusters._bucket_links(u, 0.8, before + 7000)
+    assert (clusters.connect(n, np.r_[a, i], np.r_[b, j]) == want).all()
+    monkeypatch.setattr(Counted, "made", 0)
+    assert not len(clusters._bucket_links(u.view(Counted), 0.8, np.full(n, 3))[0]) and Counted.made == 0
+
+
+@pytest.mark.parametrize("min_cos", [0.75, -0.2])
+def test_buckets_of_all_sizes_link_all_that_are_similar(min_cos):
+    rng = np.random.default_rng(12)
+    size = np.array([30, 25, 400, 128, 26, 129, 90, 25])
+    u = vec.unit(rng.standard_normal((size.sum(), 8 if min_cos > 0 else 64)) @ np.eye(64)[: 8 if min_cos > 0 else 64])
+    start = np.cumsum(size) - size
+    got = {(int(i), int(j)) for i, j in zip(*clusters._upper_links(u, start, size, min_cos))}
+    want = {(s + i, s + j) for s, n in zip(start, size) for i, j in zip(*np.nonzero(np.triu(u[s : s + n] @ u[s : s + n].T >= min_cos, 1)))}
+    assert got == {(int(i), int(j)) for i, j in want}
+
+
+def test_names_and_min_hashes_equal_their_definition():
+    rng = np.random.default_rng(6)
+    h = clusters.Hashes(vec.unit(rng.standard_normal((600, 64))), 1, 2, 2, 0)
+    u = vec.unit(rng.standard_normal((2500, 64)))
+    names = h.sets(u)
+    d = (u.astype(float) @ h.w + h.off).reshape(len(u), clusters.BOOKS, clusters.CENTROIDS)
+    own = np.take_along_axis(d, names[:, :, None].astype(int), 2)[:, :, 0]
+    assert names.dtype == np.uint8 and np.allclose(own, d.min(2), atol=1e-5)
+    want = np.zeros(len(u), np.int64)
+    for order in h.orders[3:5]:
+        want = want * (clusters.BOOKS * clusters.CENTROIDS) + order[np.arange(clusters.BOOKS), names].min(1)
+    assert (h.key(names, 3, 2) == want).all()
+
+
 @pytest.mark.parametrize("small", [24, 1])
 def test_few_names_in_common_break_no_link(monkeypatch, small):
     monkeypatch.setattr(clusters, "SMALL", small)
